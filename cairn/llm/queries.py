@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from .chat_format import OP4_SQL, op4_chat_formatting
+from .decontamination import op1_decontamination
+from .language_id import op10_language_id
 from .mixing import OP6_SQL, op6_mixing
+from .pii import op9_pii
 from .quality_rules import OP3_SQL, op3_quality_rules
 from .sharding import op8_sharding
+from .token_counts import op2_token_counts
 
 
 def queries():
-    found = [op3_quality_rules, op4_chat_formatting, op6_mixing, op8_sharding]
+    found = [op1_decontamination, op2_token_counts, op3_quality_rules, op4_chat_formatting, op6_mixing, op8_sharding, op9_pii, op10_language_id]
     return {f.__name__: f for f in found}
 
 
