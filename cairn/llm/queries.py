@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat_format import OP4_SQL, op4_chat_formatting
 from .decontamination import op1_decontamination
+from .jaccard_join import op5_jaccard_join
 from .language_id import op10_language_id
 from .mixing import OP6_SQL, op6_mixing
 from .pii import op9_pii
@@ -13,7 +14,7 @@ from .token_counts import op2_token_counts
 
 
 def queries():
-    found = [op1_decontamination, op2_token_counts, op3_quality_rules, op4_chat_formatting, op6_mixing, op8_sharding, op9_pii, op10_language_id]
+    found = [op1_decontamination, op2_token_counts, op3_quality_rules, op4_chat_formatting, op5_jaccard_join, op6_mixing, op8_sharding, op9_pii, op10_language_id]
     return {f.__name__: f for f in found}
 
 
