@@ -1,0 +1 @@
+"""Analytics over a content-addressed artifact catalog, as Spark DataFrame computations."""
