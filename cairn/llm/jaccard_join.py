@@ -271,8 +271,12 @@ def _split(rows: DataFrame, level: int) -> DataFrame:
     return rows.select("key", "set_id", "sketch").mapInArrow(run, "key long, set_id long, sketch binary")
 
 
-def _against_pivot(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges to the first set of each bucket, rows that stay in the bucket)."""
+def _against_pivot(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges to the first set of each bucket, rows that stay in the bucket, sets that a pivot stands for).
+
+    A pivot that another pivot stands for stands for nobody, so likeness doesn't
+    drift along a chain.
+    """
 
     def run(batches):
         for batch in batches:
@@ -284,7 +288,9 @@ def _against_pivot(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     pivots = rows.groupBy("key").agg(F.min("set_id").alias("pivot"), F.min_by("sketch", "set_id").alias("pivot_sketch"))
     told = written(rows.join(pivots, "key").mapInArrow(run, "key long, set_id long, sketch binary, pivot long, kind int"), "jaccard-pivots")
     edges = told.filter("kind > 0 and set_id <> pivot").select(F.col("pivot").alias("a"), F.col("set_id").alias("b")).distinct()
-    return edges, told.filter("kind < 2").select("key", "set_id", "sketch")
+    equal = told.filter("kind = 2 and set_id <> pivot").select("set_id", "pivot").distinct()
+    gone = equal.join(equal.select(F.col("set_id").alias("pivot")).distinct(), "pivot", "left_anti").select("set_id").distinct()
+    return edges, told.filter("kind < 2").select("key", "set_id", "sketch"), gone
 
 
 def _sized(rows: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
@@ -301,14 +307,16 @@ def candidate_edges(sets: DataFrame) -> DataFrame:
     meet = first.join(sizes, "key")
     # Sketches go only to sets that meet another; keys and ids are all that was dealt so far.
     rows = written(meet.join(sets.select("set_id", "sketch"), "set_id"), "jaccard-buckets")
-    edges = [_bucket_edges(rows.filter(F.col("n") <= LIMIT))]
-    large = rows.filter(F.col("n") > LIMIT).drop("n")
+    small, large = rows.filter(F.col("n") <= LIMIT), rows.filter(F.col("n") > LIMIT).drop("n")
+    edges = []
     for level in range(1, DEPTH + 1):
         if large.isEmpty():
-            return _all(edges)
-        star, left = _against_pivot(large)
-        small, large = _sized(_split(left, level), f"jaccard-level-{level}")
-        edges += [star, _bucket_edges(small)]
+            break
+        star, left, gone = _against_pivot(large)
+        # A set for which a pivot stands takes no part in other buckets either; the pivot does.
+        edges += [star, _bucket_edges(small.join(gone, "set_id", "left_anti"))]
+        small, large = _sized(_split(left.join(gone, "set_id", "left_anti"), level), f"jaccard-level-{level}")
+    edges.append(_bucket_edges(small))
     if not large.isEmpty():
         edges.append(_blocks(large))
     return _all(edges)
