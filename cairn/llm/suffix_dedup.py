@@ -242,8 +242,7 @@ def _find_contexts(batches, parts: int, buckets: int):
         copy = _copies_covered(keys, inner, docs)
         stay = ~copy
         target = ((keys >> np.uint64(32)) % np.uint64(parts)).astype(np.uint16)
-        place = (first << np.int64(8) | windows).astype(np.uint64)
-        rows = _dealt(0, target[stay], docs[stay], tags[stay], keys[stay].astype(np.uint32), inner[stay], place[stay])
+        rows = _dealt(0, target[stay], docs[stay], tags[stay], keys[stay].astype(np.uint32), inner[stay], first[stay].astype(np.uint32), windows[stay].astype(np.uint8))
         return _batch(rows + _dealt(1, _bucket(docs[copy], buckets), docs[copy], tags[copy], first[copy], (first + windows - 1 + LENGTH)[copy]))
 
     for batch in batches:
@@ -278,9 +277,9 @@ def _settle(batches, buckets: int):
     """Contexts of a part -> covered spans, and requests for the bytes of the others that may share a window."""
     for _, rows in _groups(batches, _NAMES):
         out = [tuple(r[n] for n in _NAMES) for r in rows if r["kind"] == 1]
-        docs, tags, keys, inner, place = _undealt([r for r in rows if r["kind"] == 0], np.uint32, np.uint64, np.uint64)
+        docs, tags, keys, inner, first, windows = _undealt([r for r in rows if r["kind"] == 0], np.uint32, np.uint64, np.uint32, np.uint8)
         if len(docs):
-            first, windows = (place >> np.uint64(8)).astype(np.int64), (place & np.uint64(255)).astype(np.int64)
+            first, windows = first.astype(np.int64), windows.astype(np.int64)
             copy = _copies_covered(keys, inner, docs)
             out += _dealt(1, _bucket(docs[copy], buckets), docs[copy], tags[copy], first[copy], (first + windows - 1 + LENGTH)[copy])
             left = np.flatnonzero(~copy)
@@ -292,7 +291,7 @@ def _settle(batches, buckets: int):
             heads = np.flatnonzero(start)
             tails = np.concatenate((heads[1:], [len(k)])) - 1
             want = left[(d[heads] != d[tails])[group]] if len(k) else left
-            out += _dealt(2, _bucket(docs[want], buckets), docs[want], tags[want], keys[want], place[want])
+            out += _dealt(2, _bucket(docs[want], buckets), docs[want], tags[want], keys[want], (first[want] << np.int64(8) | windows[want]).astype(np.uint64))
         yield _batch(out)
 
 
@@ -394,9 +393,11 @@ def covered_spans(docs: DataFrame) -> tuple[DataFrame, int]:
     known = _texts(docs.filter("doc_id is not null and octet_length(text) >= " + str(LENGTH)))
     found = known.mapInArrow(lambda bs: _find_contexts(bs, parts, buckets), BLOB)
     settled = written(found.repartition("target").sortWithinPartitions("target").mapInArrow(lambda bs: _settle(bs, buckets), BLOB), "suffix-settled")
+    del found
     _release(spark)
     asked = _beside_texts(known, settled.filter("kind = 2"), buckets).mapInArrow(lambda bs: _fetch(bs, parts), BLOB)
     more = written(asked.repartition("target").sortWithinPartitions("target").mapInArrow(lambda bs: _expand(bs, buckets), BLOB), "suffix-expanded")
+    del asked
     _release(spark)
     return settled.filter("kind = 1").unionByName(more), buckets
 
