@@ -38,7 +38,6 @@ PENALTY = 3.0
 #: More languages than this can't be learned; the model that is broadcast grows with them.
 MAX_LANGUAGES = 128
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -104,7 +103,7 @@ def mixture(likelihood: np.ndarray, weight: np.ndarray, active: np.ndarray) -> t
 
 def infer(text: str | None, log_p: np.ndarray) -> np.ndarray | None:
     """Shares of all languages in a text, or None if it has no letter; log_p is buckets x languages."""
-    if not text or not log_p.shape[1] or not _LETTER.search(text):
+    if not text or not log_p.shape[1] or not any(map(str.isalpha, text)):
         return None
     grams, weight = np.unique(trigrams(text), return_counts=True)
     rows = log_p[grams].astype(np.float64)
