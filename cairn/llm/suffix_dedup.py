@@ -46,6 +46,8 @@ LENGTH = 50
 GRAM = 16
 #: Anchors gathered before they are dealt to parts.
 FLUSH = 1 << 18
+#: Bytes of contexts of which one suffix array is made.
+SLICE = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _UNBASE = pow(_BASE, -1, 2**64)
@@ -273,15 +275,39 @@ def _groups(batches, names):
         yield at, held
 
 
+class _Outbox:
+    """Rows for buckets of documents, gathered over the parts of a task so that each bucket gets few blobs."""
+
+    def __init__(self, kind: int, buckets: int) -> None:
+        self.kind, self.buckets, self.held, self.size = kind, buckets, [], 0
+
+    def add(self, docs: np.ndarray, *columns: np.ndarray) -> None:
+        if len(docs):
+            self.held.append((docs, *columns))
+            self.size += len(docs)
+
+    def rows(self) -> list[tuple]:
+        """(docs, tags, columns...) dealt; the box is empty afterwards."""
+        if not self.held:
+            return []
+        docs, tags, *columns = (np.concatenate(c) for c in zip(*self.held, strict=True))
+        self.held, self.size = [], 0
+        return _dealt(self.kind, _bucket(docs, self.buckets), docs, tags, *columns)
+
+
 def _settle(batches, buckets: int):
     """Contexts of a part -> covered spans, and requests for the bytes of the others that may share a window."""
+    covered, wanted = _Outbox(1, buckets), _Outbox(2, buckets)
     for _, rows in _groups(batches, _NAMES):
-        out = [tuple(r[n] for n in _NAMES) for r in rows if r["kind"] == 1]
+        passing = [r for r in rows if r["kind"] == 1]
+        if passing:
+            covered.add(*_undealt(passing, np.int64, np.int64))
         docs, tags, keys, inner, first, windows = _undealt([r for r in rows if r["kind"] == 0], np.uint32, np.uint64, np.uint32, np.uint8)
+        del rows
         if len(docs):
             first, windows = first.astype(np.int64), windows.astype(np.int64)
             copy = _copies_covered(keys, inner, docs)
-            out += _dealt(1, _bucket(docs[copy], buckets), docs[copy], tags[copy], first[copy], (first + windows - 1 + LENGTH)[copy])
+            covered.add(docs[copy], tags[copy], first[copy], (first + windows - 1 + LENGTH)[copy])
             left = np.flatnonzero(~copy)
             left = left[np.lexsort((docs[left], keys[left]))]
             k, d = keys[left], docs[left]
@@ -291,8 +317,11 @@ def _settle(batches, buckets: int):
             heads = np.flatnonzero(start)
             tails = np.concatenate((heads[1:], [len(k)])) - 1
             want = left[(d[heads] != d[tails])[group]] if len(k) else left
-            out += _dealt(2, _bucket(docs[want], buckets), docs[want], tags[want], keys[want], (first[want] << np.int64(8) | windows[want]).astype(np.uint64))
-        yield _batch(out)
+            wanted.add(docs[want], tags[want], keys[want], (first[want] << np.int64(8) | windows[want]).astype(np.uint64))
+        for box in (covered, wanted):
+            if box.size >= FLUSH:
+                yield _batch(box.rows())
+    yield _batch(covered.rows() + wanted.rows())
 
 
 WITH_TEXT = "target int, kind int, doc_id long, tag long, text binary, docs binary, tags binary, counts binary, a binary, b binary"
@@ -306,7 +335,7 @@ def _beside_texts(texts: DataFrame, blobs: DataFrame, buckets: int) -> DataFrame
     none = lambda *names: [F.lit(None).cast("binary").alias(n) for n in names]
     texts = own.select("target", F.lit(9).alias("kind"), "doc_id", "tag", "text", *none("docs", "tags", "counts", "a", "b"))
     blobs = blobs.select(F.col("target").cast(IntegerType()), "kind", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("tag"), *none("text"), "docs", "tags", "counts", "a", "b")
-    return blobs.unionByName(texts).repartition("target").sortWithinPartitions("target", "kind")
+    return blobs.unionByName(texts).repartitionById(buckets, "target").sortWithinPartitions("target", "kind")
 
 
 def _with_bucket(batches, buckets: int):
@@ -344,12 +373,13 @@ def _fetch(batches, parts: int):
     def flush():
         docs, tags, keys, place, raw = zip(*held, strict=True)
         held.clear()
-        target = (_scrambled(np.array(keys, np.uint64)) % np.uint64(parts)).astype(np.uint16)
+        keys = np.array(keys, np.uint64)
+        target = (_scrambled(keys) % np.uint64(parts)).astype(np.uint16)
         order = np.argsort(target, kind="stable")
-        rows = _dealt(3, target, np.array(docs, np.int64), np.array(tags, np.int64), np.array(place, np.uint64))
-        cuts = np.flatnonzero(np.diff(target[order], prepend=-1, append=-1))
-        parts_raw = [b"".join(raw[k] for k in order[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-        return _batch([(*row[:6], data, *row[7:]) for row, data in zip(rows, parts_raw, strict=True)])
+        rows = _dealt(3, target, np.array(docs, np.int64), np.array(tags, np.int64), np.array(place, np.uint64), keys.astype(np.uint32))
+        cuts = np.flatnonzero(np.diff(target[order].astype(np.int32), prepend=-1, append=-1))
+        each = [b"".join(raw[k] for k in order[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+        return _batch([(*row[:7], data, None) for row, data in zip(rows, each, strict=True)])
 
     for doc, tag, text, (keys, place) in _by_document(batches, np.uint32, np.uint64):
         for key, p in zip(keys.tolist(), place.tolist(), strict=True):
@@ -364,15 +394,34 @@ def _fetch(batches, parts: int):
 
 
 def _expand(batches, buckets: int):
-    """Contexts of a part -> spans covered by windows of smaller documents."""
+    """Contexts of a part -> spans covered by windows of smaller documents.
+
+    A part is worked off in slices of whole grams, as many as fit ``SLICE`` bytes.
+    """
+    covered = _Outbox(1, buckets)
     for _, rows in _groups(batches, _NAMES):
-        docs, tags, place = _undealt(rows, np.uint64)
+        docs, tags, place, keys = _undealt(rows, np.uint64, np.uint32)
         first, windows = (place >> np.uint64(8)).astype(np.int64), (place & np.uint64(255)).astype(np.int64)
-        raw, ends = b"".join(r["b"] for r in rows), np.cumsum(windows - 1 + LENGTH)
-        contexts = [raw[e - w + 1 - LENGTH : e] for e, w in zip(ends.tolist(), windows.tolist(), strict=True)]
-        found = np.array(covered_windows(contexts, docs), np.int64).reshape(-1, 3)
-        k = found[:, 0]
-        yield _batch(_dealt(1, _bucket(docs[k], buckets), docs[k], tags[k], first[k] + found[:, 1], first[k] + found[:, 2] + LENGTH))
+        raw, ends = b"".join(r["c"] for r in rows), np.cumsum(windows - 1 + LENGTH)
+        del rows
+        order = np.argsort(keys, kind="stable")
+        heads = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1])))
+        sums = np.concatenate(([0], np.cumsum((windows - 1 + LENGTH)[order])))
+        at = 0
+        while at < len(order):
+            # The last gram that begins within the slice is the next one's first.
+            limit = np.searchsorted(sums, sums[at] + SLICE)
+            later = heads[(heads > at) & (heads <= limit)]
+            stop = int(later[-1]) if len(later) and limit < len(order) else len(order) if limit >= len(order) else int(np.append(heads[heads > at], len(order))[0])
+            some = order[at:stop]
+            contexts = [raw[ends[k] - windows[k] + 1 - LENGTH : ends[k]] for k in some.tolist()]
+            found = np.array(covered_windows(contexts, docs[some]), np.int64).reshape(-1, 3)
+            k = some[found[:, 0]]
+            covered.add(docs[k], tags[k], first[k] + found[:, 1], first[k] + found[:, 2] + LENGTH)
+            at = stop
+        if covered.size >= FLUSH:
+            yield _batch(covered.rows())
+    yield _batch(covered.rows())
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -389,14 +438,14 @@ def covered_spans(docs: DataFrame) -> tuple[DataFrame, int]:
     """Blobs of covered (start, stop) spans by bucket of documents, and the number of buckets."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    parts = buckets = min(1 << 15, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = buckets = min(1 << 15, int(spark.conf.get("spark.sql.shuffle.partitions")))
     known = _texts(docs.filter("doc_id is not null and octet_length(text) >= " + str(LENGTH)))
     found = known.mapInArrow(lambda bs: _find_contexts(bs, parts, buckets), BLOB)
-    settled = written(found.repartition("target").sortWithinPartitions("target").mapInArrow(lambda bs: _settle(bs, buckets), BLOB), "suffix-settled")
+    settled = written(found.repartitionById(parts, "target").sortWithinPartitions("target").mapInArrow(lambda bs: _settle(bs, buckets), BLOB), "suffix-settled")
     del found
     _release(spark)
     asked = _beside_texts(known, settled.filter("kind = 2"), buckets).mapInArrow(lambda bs: _fetch(bs, parts), BLOB)
-    more = written(asked.repartition("target").sortWithinPartitions("target").mapInArrow(lambda bs: _expand(bs, buckets), BLOB), "suffix-expanded")
+    more = written(asked.repartitionById(parts, "target").sortWithinPartitions("target").mapInArrow(lambda bs: _expand(bs, buckets), BLOB), "suffix-expanded")
     del asked
     _release(spark)
     return settled.filter("kind = 1").unionByName(more), buckets

@@ -337,7 +337,10 @@ def test_repeats_equal_brute_force(spark, small, plain):
     assert sorted(map(tuple, suffix_dedup.op7_suffix_dedup(spark, small).collect())) == brute(plain)
 
 
-def test_repeats_planted(spark):
+@pytest.mark.parametrize("limit", [1 << 20, 300])
+def test_repeats_planted(spark, monkeypatch, limit):
+    monkeypatch.setattr(suffix_dedup, "SLICE", limit)
+    monkeypatch.setattr(suffix_dedup, "FLUSH", limit)
     r = random.Random(11)
     passages = [prose(k, 15)[: r.randint(45, 80)] for k in range(6)] + ["ab" * 60, "z" * 130, "é" * 40]
     rows = [(k, "".join(r.choice([prose(r.randrange(10**6), 4), r.choice(passages), r.choice(passages)[3:]]) for _ in range(r.randint(0, 8)))) for k in range(60)]
