@@ -69,3 +69,16 @@ def counters_ok(*counters: Column) -> Column:
     for c in counters:
         out = out & (c >= 0)
     return out
+
+
+#: Columns that make two upload sessions the same request.
+SESSION_IDENTITY = (
+    "artifact_id", "target_node_id", "replication_factor", "chunking_strategy", "chunk_size_bytes",
+    "fastcdc_min_chunk_size_bytes", "fastcdc_avg_chunk_size_bytes", "fastcdc_max_chunk_size_bytes", "parent_version_id", "nodes",
+)
+
+
+def same_session(left: str, right: str, columns=SESSION_IDENTITY) -> Column:
+    """Whether the rows under two aliases agree in all of ``columns``; nulls equal each other."""
+    side = lambda alias: F.struct(*[F.col(f"{alias}.{c}") for c in columns])
+    return side(left).eqNullSafe(side(right))

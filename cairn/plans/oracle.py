@@ -202,6 +202,16 @@ SQL = {
     "throughput_median": "SELECT event_type, quantile_cont(value, 0.5) AS median_s, CASE WHEN quantile_cont(value, 0.5) > 0 THEN 64.0::DOUBLE / quantile_cont(value, 0.5) ELSE 0 END AS mib_per_s FROM events GROUP BY 1",
     "event_windows": f"SELECT epoch_us(date_trunc('hour', ts)) AS hour_us, event_type, {COUNT} AS n, max(value) AS max_value FROM events GROUP BY 1, 2",
 }
+SQL |= {
+    "layouts_of_objects": "SELECT object_id, layout_id, chunk_count FROM layouts WHERE object_id = (SELECT object_id FROM docs WHERE doc_id = 3)",
+    "node_lookup": f"SELECT node_id, address, port, state FROM nodes WHERE node_id = '{TARGET}'",
+    "layout_chunk_sizes": "SELECT layout_id, chunk_index, chunk_id, chunk_size_bytes AS size_bytes FROM layout_chunks",
+    "endpoint_union": "SELECT DISTINCT node_id, address, port FROM nodes WHERE state IN ('active', 'draining')",
+    "unready_placements": "SELECT session_id, node_id FROM sessions s, nodes n WHERE s.state = 'open' AND n.state <> 'active'",
+    "session_identity": "SELECT o_orderkey, NOT (o_orderkey % 5 = 0 AND o_orderstatus = 'O') AS same FROM orders",
+    "counter_checks": f"SELECT l_returnflag, count(*) FILTER (WHERE l_quantity >= 3 AND l_extendedprice >= 0)::BIGINT AS good, count(*) FILTER (WHERE NOT (l_quantity >= 3 AND l_extendedprice >= 0))::BIGINT AS bad FROM lineitem GROUP BY 1",
+    "start_outcomes": "SELECT kind, CASE WHEN kind = 'replication' OR NOT EXISTS (SELECT 1 FROM sessions WHERE state = 'open') THEN 'ok' ELSE 'open-sessions' END AS outcome FROM (VALUES ('gc'), ('replication'), ('lifecycle')) v(kind)",
+}
 
 # Those that read more than one shape of the same rows.
 _FLAT = "flat AS MATERIALIZED (SELECT source, least({size}, n - i * {size})::BIGINT AS n, sha256(unhex(substr(hx, (i * {size} * 2 + 1)::BIGINT, {size} * 2))) AS chunk_id FROM (SELECT source, hx, n, unnest(range((n + {size} - 1) // {size})) AS i FROM (SELECT source, lower(hex({text})) AS hx, strlen({text}) AS n FROM documents WHERE text IS NOT NULL)))"

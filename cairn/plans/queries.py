@@ -14,6 +14,7 @@ from cairn.functions import ids, validators
 from cairn.operators import availability as av
 from cairn.operators import chunking, dedup, lifecycle, liveness, validate, writes
 from cairn.sources.catalog import CHUNK_SIZE, EPOCH, REPLICAS, Catalog, table, uuid_of
+from cairn.sources.lookups import get
 
 EVALUATED_S = EPOCH + 45 * 86400
 TARGET = "node-0"
@@ -515,3 +516,67 @@ def event_windows(spark, sf_dir):
     from cairn.streaming.streams import hourly
 
     return hourly(table(spark, sf_dir, "events"))
+
+
+# Lookups and guards.
+
+
+@on_catalog
+def layouts_of_objects(c):
+    """Layouts of the object of document 3, found by key."""
+    wanted = c.docs.filter("doc_id = 3").select("object_id")
+    return c.layouts.join(wanted, "object_id", "left_semi").select("object_id", "layout_id", "chunk_count").orderBy("layout_id")
+
+
+@on_catalog
+def node_lookup(c):
+    return get("storage_nodes", c.nodes, TARGET)
+
+
+@on_catalog
+def layout_chunk_sizes(c):
+    """Layout chunks with the stored size of the chunk."""
+    return c.layout_chunks.join(c.chunks, "chunk_id").select("layout_id", "chunk_index", "chunk_id", "size_bytes")
+
+
+@on_catalog
+def endpoint_union(c):
+    """Source and target endpoints of repairs, each node once."""
+    sources = av.readable(c.locations, c.nodes).select("node_id", "address", "port")
+    targets = c.nodes.filter("state = 'active'").select("node_id", "address", "port")
+    return sources.unionByName(targets).dropDuplicates(["node_id"])
+
+
+@on_catalog
+def unready_placements(c):
+    """Placement sets over all nodes; those that aren't active are reported."""
+    sets = c.sessions.filter("state = 'open'").select("session_id").join(F.broadcast(c.node_ids)).select("session_id", F.col("node_ids").alias("nodes"))
+    return validate.unready_nodes(sets, c.nodes)
+
+
+@query
+def session_identity(spark, sf_dir):
+    """Orders taken as requests, against the same with some fields changed or null."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("a"), F.when(F.col("o_orderstatus") == "O", F.col("o_orderpriority")).alias("b"))
+    again = o.select("o_orderkey", "a", F.when(F.col("o_orderkey") % 5 != 0, F.col("b")).alias("b"))
+    return o.alias("l").join(again.alias("r"), "o_orderkey").select("o_orderkey", validators.same_session("l", "r", ("a", "b")).alias("same"))
+
+
+@query
+def counter_checks(spark, sf_dir):
+    """Rows of lineitem taken as counters; negative ones fail."""
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    ok = validators.counters_ok(F.col("l_quantity") - 3, F.col("l_extendedprice"))
+    return l.groupBy("l_returnflag").agg(F.count_if(ok).alias("good"), F.count_if(~ok).alias("bad"))
+
+
+@on_catalog
+def start_outcomes(c):
+    """What keeps each kind of run from starting."""
+    none = c.sessions.limit(0).select("state")
+    guards = writes.busy(c.sessions, none, none)
+    out = None
+    for kind in ("gc", "replication", "lifecycle"):
+        one = writes.start_outcome(guards, kind).select(F.lit(kind).alias("kind"), "outcome")
+        out = one if out is None else out.unionByName(one)
+    return out
