@@ -8,6 +8,8 @@ no copy of the repository on their path.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import sys
 import tempfile
 import uuid
@@ -39,6 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not where:
         held = spark.sparkContext.getCheckpointDir()
         where = held or tempfile.mkdtemp(prefix="cairn-checkpoint-")
+        if not held:
+            atexit.register(shutil.rmtree, where, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", where)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(where)
