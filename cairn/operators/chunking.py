@@ -9,6 +9,7 @@ found at once and a greedy walk over the candidates places the cuts.
 from __future__ import annotations
 
 import hashlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,7 @@ def fixed_layouts(objects: DataFrame, size: int, content: str = "content") -> Da
     return objects.select("object_id", fixed_chunks(F.col(content), size).alias("chunks"))
 
 
+@cache
 def gear_table(seed: int = K.GEAR_SEED, n: int = K.GEAR_SIZE) -> np.ndarray:
     mask, state, out = 2**64 - 1, seed, []
     for _ in range(n):
@@ -51,18 +53,26 @@ def gear_table(seed: int = K.GEAR_SEED, n: int = K.GEAR_SIZE) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
-#: Bytes of a block of the vectorised hash; small enough to stay in the cache.
-_BLOCK = 1 << 18
+#: Bytes of a block of the vectorised hash; with its two buffers it stays in the cache.
+_BLOCK = 1 << 16
 
 
-def _low_hash(data: np.ndarray, gear: np.ndarray, bits: int) -> np.ndarray:
-    """The low ``bits`` bits of the rolling hash after each byte, by doubling the span that is summed."""
-    h = gear[data]
-    span = 1
-    while span < bits:
-        h[span:] += h[:-span] << np.uint32(span)
-        span *= 2
-    return h
+class _LowHash:
+    """The low bits of the rolling hash after each byte of a block, by doubling the span that is summed."""
+
+    def __init__(self, bits: int) -> None:
+        self.bits, self.gear = bits, gear_table().astype(np.uint32)
+        self.sums, self.moved = (np.empty(_BLOCK + bits, np.uint32) for _ in range(2))
+
+    def of(self, data: np.ndarray) -> np.ndarray:
+        h, moved = self.sums[: len(data)], self.moved[: len(data)]
+        np.take(self.gear, data, out=h, mode="clip")
+        span = 1
+        while span < min(self.bits, len(data)):
+            np.left_shift(h[:-span], np.uint32(span), out=moved[span:])
+            np.add(h[span:], moved[span:], out=h[span:])
+            span *= 2
+        return h
 
 
 def cdc_sizes(raw: bytes, low: int, avg: int, high: int) -> list[int]:
@@ -77,11 +87,11 @@ def cdc_sizes(raw: bytes, low: int, avg: int, high: int) -> list[int]:
     data = np.frombuffer(raw, np.uint8)
     bits = avg.bit_length() - 1
     strict, loose = np.uint32((1 << (bits + 1)) - 1), np.uint32((1 << (bits - 1)) - 1)
-    gear = gear_table().astype(np.uint32)
+    rolling = _LowHash(bits + 2)
     hard, easy = [], []
     for at in range(0, len(data), _BLOCK):
         lead = min(at, bits + 1)
-        h = _low_hash(data[at - lead : at + _BLOCK], gear, bits + 2)[lead:]
+        h = rolling.of(data[at - lead : at + _BLOCK])[lead:]
         found = np.flatnonzero((h & loose) == 0)
         easy.append(found + at)
         hard.append(found[(h[found] & strict) == 0] + at)
