@@ -9,7 +9,6 @@ found at once and a greedy walk over the candidates places the cuts.
 from __future__ import annotations
 
 import hashlib
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +40,6 @@ def fixed_layouts(objects: DataFrame, size: int, content: str = "content") -> Da
     return objects.select("object_id", fixed_chunks(F.col(content), size).alias("chunks"))
 
 
-@cache
 def gear_table(seed: int = K.GEAR_SEED, n: int = K.GEAR_SIZE) -> np.ndarray:
     mask, state, out = 2**64 - 1, seed, []
     for _ in range(n):
@@ -75,7 +73,11 @@ class _LowHash:
         return h
 
 
-def cdc_sizes(raw: bytes, low: int, avg: int, high: int) -> list[int]:
+def rolling_for(avg: int) -> _LowHash:
+    return _LowHash(avg.bit_length() + 1)
+
+
+def cdc_sizes(raw: bytes, low: int, avg: int, high: int, rolling: _LowHash | None = None) -> list[int]:
     """Sizes of the content-defined chunks of ``raw``, in order.
 
     A cut falls after the first byte at which the low bits of the hash are zero:
@@ -87,7 +89,7 @@ def cdc_sizes(raw: bytes, low: int, avg: int, high: int) -> list[int]:
     data = np.frombuffer(raw, np.uint8)
     bits = avg.bit_length() - 1
     strict, loose = np.uint32((1 << (bits + 1)) - 1), np.uint32((1 << (bits - 1)) - 1)
-    rolling = _LowHash(bits + 2)
+    rolling = rolling or rolling_for(avg)
     hard, easy = [], []
     for at in range(0, len(data), _BLOCK):
         lead = min(at, bits + 1)
@@ -117,11 +119,12 @@ def cdc_layouts(objects: DataFrame, low: int, avg: int, high: int, content: str
     kind = pa.list_(pa.struct([("chunk_index", pa.int64()), ("byte_offset", pa.int64()), ("chunk_size_bytes", pa.int64()), ("chunk_id", pa.string())]))
 
     def run(batches):
+        rolling = rolling_for(avg)
         for batch in batches:
             out = []
             for raw in batch[1].to_pylist():
                 at, rows = 0, []
-                for k, size in enumerate(cdc_sizes(raw or b"", low, avg, high)):
+                for k, size in enumerate(cdc_sizes(raw or b"", low, avg, high, rolling)):
                     rows.append({"chunk_index": k, "byte_offset": at, "chunk_size_bytes": size, "chunk_id": hashlib.sha256(memoryview(raw)[at : at + size]).hexdigest()})
                     at += size
                 out.append(rows)
