@@ -274,6 +274,8 @@ def _split(rows: DataFrame, level: int) -> DataFrame:
 def _against_pivot(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(edges to the first set of each bucket, rows that stay in the bucket, sets that a pivot stands for).
 
+    A bucket of which every set is a candidate of its pivot is done: all its
+    pairs are in one candidate group.
     A pivot that another pivot stands for stands for nobody, so likeness doesn't
     drift along a chain.
     """
@@ -290,7 +292,8 @@ def _against_pivot(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     edges = told.filter("kind > 0 and set_id <> pivot").select(F.col("pivot").alias("a"), F.col("set_id").alias("b")).distinct()
     equal = told.filter("kind = 2 and set_id <> pivot").select("set_id", "pivot").distinct()
     gone = equal.join(equal.select(F.col("set_id").alias("pivot")).distinct(), "pivot", "left_anti").select("set_id").distinct()
-    return edges, told.filter("kind < 2").select("key", "set_id", "sketch"), gone
+    undone = told.filter("kind = 0").select("key").distinct()
+    return edges, told.filter("kind < 2").select("key", "set_id", "sketch").join(undone, "key", "left_semi"), gone
 
 
 def _sized(rows: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
