@@ -34,9 +34,11 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -339,14 +341,18 @@ def _beside_texts(texts: DataFrame, blobs: DataFrame, buckets: int) -> DataFrame
 
 
 def _with_bucket(batches, buckets: int):
+    """Bucket of each text, and the text compressed for the shuffle."""
+    packer = zstandard.ZstdCompressor(level=1)
     for batch in batches:
         docs = np.array([0 if d is None else d for d in batch["doc_id"].to_pylist()], np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(_bucket(docs, buckets).astype(np.int32)), batch["doc_id"], batch["tag"], batch["text"]], names=["target", "doc_id", "tag", "text"])
+        packed = pa.array([packer.compress(t) for t in batch["text"].to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(_bucket(docs, buckets).astype(np.int32)), batch["doc_id"], batch["tag"], packed], names=["target", "doc_id", "tag", "text"])
 
 
 def _by_document(batches, *types):
     """(doc_id, tag, text, columns for that document) of each text row."""
     at, waiting, index = None, [], None
+    unpacker = zstandard.ZstdDecompressor()
     for batch in batches:
         for row in batch.to_pylist():
             if row["target"] != at:
@@ -363,7 +369,7 @@ def _by_document(batches, *types):
                 index = {(int(docs[a]), int(tags[a])): (a, b) for a, b in zip(starts, stops, strict=True)}
                 waiting = []
             a, b = index.get((row["doc_id"], row["tag"]), (0, 0))
-            yield row["doc_id"], row["tag"], row["text"], [c[a:b] for c in columns]
+            yield row["doc_id"], row["tag"], unpacker.decompress(row["text"]), [c[a:b] for c in columns]
 
 
 def _fetch(batches, parts: int):
@@ -429,9 +435,11 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _release(spark) -> None:
-    """Lets Spark drop the shuffle files of the passes that are over."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark drop the shuffle files of the passes that are over; it does so in the background."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def covered_spans(docs: DataFrame) -> tuple[DataFrame, int]:
