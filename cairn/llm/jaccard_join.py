@@ -318,7 +318,8 @@ def candidate_edges(sets: DataFrame) -> DataFrame:
         star, left, gone = _against_pivot(large)
         # A set for which a pivot stands takes no part in other buckets either; the pivot does.
         edges += [star, _bucket_edges(small.join(gone, "set_id", "left_anti"))]
-        small, large = _sized(_split(left.join(gone, "set_id", "left_anti"), level), f"jaccard-level-{level}")
+        split = written(_split(left.join(gone, "set_id", "left_anti"), level), f"jaccard-split-{level}")  # read twice below
+        small, large = _sized(split, f"jaccard-level-{level}")
     edges.append(_bucket_edges(small))
     if not large.isEmpty():
         edges.append(_blocks(large))
