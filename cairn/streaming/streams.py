@@ -19,7 +19,7 @@ def hourly(events: DataFrame) -> DataFrame:
 
 def hourly_stream(events: DataFrame, late: str = "2 hours") -> DataFrame:
     """``hourly`` with a watermark: windows are final once events are ``late`` behind."""
-    return hourly(events.withWatermark("ts", late))
+    return hourly(events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late))
 
 
 def new_chunks(objects: DataFrame, size: int) -> DataFrame:
