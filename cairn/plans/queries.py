@@ -438,11 +438,10 @@ def placement_set_valid(spark, sf_dir):
 
 @query
 def policy_valid(spark, sf_dir):
-    """A policy per part size; rules come from parts, so some lack a kind or go out of bounds."""
+    """Policies of five parts each; rules come from parts, so some lack a kind or go out of bounds."""
     p = table(spark, sf_dir, "part")
     kind = F.element_at(F.array(*[F.lit(k) for k in K.KINDS]), (F.col("p_partkey") % 5 + 1).cast("int"))
-    few = p.filter("p_partkey <= 500")
-    made = few.select(F.floor(F.col("p_partkey") / 5).cast("string").alias("policy_id"), kind.alias("artifact_kind"), (F.col("p_size") * F.when(F.col("p_partkey") % 41 == 0, 1000).otherwise(1)).cast("int").alias("keep_last_n"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_partkey") * 1000).cast("long").alias("max_age_seconds"))
+    made = p.select(F.floor(F.col("p_partkey") / 5).cast("string").alias("policy_id"), kind.alias("artifact_kind"), (F.col("p_size") * F.when(F.col("p_partkey") % 41 == 0, 1000).otherwise(1)).cast("int").alias("keep_last_n"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_partkey") * 1000).cast("long").alias("max_age_seconds"))
     made = made.filter("cast(policy_id as int) % 9 <> 1 or artifact_kind <> 'generic'")
     policies = made.select("policy_id").distinct().withColumn("name", F.when(F.col("policy_id") == "7", "").otherwise(F.concat(F.lit("policy "), "policy_id")))
     return lifecycle.policy_report(policies, made)
