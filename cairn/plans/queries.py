@@ -225,8 +225,8 @@ def cluster_state(c):
 
 
 def pushed(c):
-    """Chunks of a push of every tenth document, one session each."""
-    docs = c.docs.filter("doc_id % 10 = 0").select(uuid_of(F.concat(F.lit("p"), "doc_id")).alias("session_id"), "object_id")
+    """Chunks of a push of every document, one session each."""
+    docs = c.docs.select(uuid_of(F.concat(F.lit("p"), "doc_id")).alias("session_id"), "object_id")
     layouts = c.layouts.filter(F.col("chunk_size") == CHUNK_SIZE).select("layout_id")
     chunks = c.layout_chunks.join(layouts, "layout_id", "left_semi").select("object_id", "chunk_index", "chunk_id", "chunk_size_bytes")
     return docs.join(chunks, "object_id").select("session_id", "chunk_index", "chunk_id", "chunk_size_bytes")
@@ -252,8 +252,8 @@ def write_amplification(c):
 
 @on_catalog
 def finalize_outcomes(c):
-    """Sessions of every tenth document: some aborted, some with a chunk size that doesn't fit."""
-    docs = c.version_docs.filter("doc_id % 10 = 0")
+    """Sessions of every document: some aborted, some with a chunk size that doesn't fit."""
+    docs = c.version_docs
     state = F.when(F.col("doc_id") % 70 == 0, "aborted").when(F.col("doc_id") % 50 == 0, "committed").otherwise("open")
     made = docs.select(
         uuid_of(F.concat(F.lit("p"), "doc_id")).alias("session_id"), state.alias("state"), "version_id", F.when(F.col("doc_id") % 30 == 0, 512).otherwise(CHUNK_SIZE).cast("long").alias("chunk_size"),

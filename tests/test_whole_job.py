@@ -28,3 +28,12 @@ def test_policies_of_all_parts(spark, tmp_path):
     want = {str(p): p != 7 and len(rs) == 5 and len({r[0] for r in rs}) == 5 and all(map(sound, rs)) for p, rs in rules.items()}
     got = {r.policy_id: r.valid for r in REGISTRY["policy_valid"](spark, str(tmp_path)).collect()}
     assert got == want and len(got) == 201 and {v for p, v in got.items() if int(p) > 100} == {True, False}
+
+
+@pytest.mark.parametrize("name", ["push_stats", "write_amplification", "finalize_outcomes"])
+def test_sessions_of_all_documents(spark, small, con, name):
+    """One session for each document; the SQL is that of the query, without its choice of every tenth document."""
+    sql = SQL[name].replace(" WHERE doc_id % 10 = 0 AND", " WHERE").replace(" WHERE doc_id % 10 = 0", "")
+    got = REGISTRY[name](spark, small)
+    assert_same(got, con, sql)
+    assert got.count() == con.execute("select count(*) from documents where text <> ''").fetchone()[0]
