@@ -37,3 +37,10 @@ def test_sessions_of_all_documents(spark, small, con, name):
     got = REGISTRY[name](spark, small)
     assert_same(got, con, sql)
     assert got.count() == con.execute("select count(*) from documents where text <> ''").fetchone()[0]
+
+
+def test_runs_of_all_orders(spark, small, con):
+    """Every order makes a run; the SQL is that of the query, without its choice of every tenth order."""
+    got = REGISTRY["run_times"](spark, small)
+    assert_same(got, con, SQL["run_times"].replace(" WHERE o_orderkey % 10 = 0", ""))
+    assert got.count() == con.execute("select count(*) from orders").fetchone()[0]
