@@ -10,7 +10,7 @@ each other, so parsing the stretches gives what a scan of the whole text would.
 Base kinds: email, ip (parts up to 255), card (16 to 19 digits, Luhn), phone (8 to
 15 digits).  Added kinds: iban (country, length and mod 97), ssn (after a cue),
 login (user and password in a URL), secret (a value of 16 or more after a cue such
-as ``token =``).
+as ``token =`` or ``"token":``).  Cues are found in upper, lower and mixed case.
 
 Spans are in code points, end exclusive.  Defined cases: null and empty texts
 have none; repeated rows are scanned each for itself; an empty table gives an
@@ -45,10 +45,10 @@ _PHONE_RUN = re.compile(r"[+\x20().0-9-]*")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 _SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _LOGIN = re.compile(r"[^\s:@/]+:[^\s:@/]+@[A-Za-z0-9.-]+")
-_SECRET = re.compile(r"\s*[=:]\s*[\"']?([A-Za-z0-9_\-+/=]{16,})")
-#: Cues, in lower case, and how far after one its value may begin.
-_IBAN_CUES = ("iban", "IBAN", "Iban")
-_SSN_CUES = ("ssn", "SSN", "social security")
+_SECRET = re.compile(r"[\"']?\s*[=:]\s*[\"']?([A-Za-z0-9_\-+/=]{16,})")
+#: Cues, in lower case as they are looked for, and how far after one its value may begin.
+_IBAN_CUES = ("iban",)
+_SSN_CUES = ("ssn", "social security")
 _SECRET_CUES = ("token", "secret", "api_key", "apikey", "password")
 _REACH = 12
 
@@ -70,6 +70,11 @@ def _automaton() -> ahocorasick.Automaton:
     return a
 
 
+def _folded(text: str) -> str:
+    """``text`` with A-Z in lower case and every other character, so every position, as it was."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for k, x in enumerate(reversed(digits)):
@@ -114,7 +119,7 @@ def find(text: str | None, automaton) -> dict[str, list[tuple[int, int]]]:
     if not text:
         return out
     done = dict.fromkeys(KINDS, 0)
-    for at, (kind, size) in automaton.iter(text):
+    for at, (kind, size) in automaton.iter(_folded(text)):
         stop = at + 1
         start = stop - size
         if start < done[kind] and kind != "email":
