@@ -25,6 +25,7 @@ and the key only, so extra columns don't clash.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 from itertools import groupby
 
 import numpy as np
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, load
+from .common import bounded_batches, load, written
 
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
@@ -198,9 +199,12 @@ def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS):
 SCAN = "doc_id long, copy long, n_words long, spans array<struct<start:int,stop:int>>, item_ids array<string>"
 
 
-def _pass(docs: DataFrame, automaton: Automaton, sparse: bool) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(vars(automaton))
+def _shared(spark, block: list, window: int):
+    """The automaton of a block, broadcast as plain data."""
+    return spark.sparkContext.broadcast(vars(Automaton(block, window)))
 
+
+def _pass(docs: DataFrame, held, sparse: bool) -> DataFrame:
     def run(batches):
         a = Automaton.of(held.value)
         for batch in batches:
@@ -224,8 +228,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("copy"), F.col("text").cast("binary").alias("text"))
     blocks = item_blocks(benchmark, block_words)
-    first = _pass(texts, Automaton(next(blocks), window), sparse=False)
-    more = [_pass(texts, Automaton(block, window), sparse=True) for block in blocks]
+    first = _pass(texts, _shared(docs.sparkSession, next(blocks), window), sparse=False)
+    more = [_pass(texts, _shared(docs.sparkSession, block, window), sparse=True) for block in blocks]
     if not more:
         return first.drop("copy")
     # Row numbers follow the partitions of the scan, the same in each pass over the same files.
@@ -246,70 +250,128 @@ def n_hit():
     return F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
 
 
-def cut(text: str, automata: list[Automaton]) -> tuple[str, int, int, int]:
-    """``text`` without its hit spans, and the words, hit words and longest span found.
+def placed(raw: bytes) -> tuple[list[bytes], list[int]]:
+    """The words of ``raw`` and where each begins."""
+    low = raw.translate(_TABLE)
+    words, at, done = low.split(), [], 0
+    for w in words:
+        at.append(low.index(w, done))
+        done = at[-1] + len(w)
+    return words, at
+
+
+def without(raw: bytes, words: list[bytes], at: list[int], spans: list[tuple[int, int]]) -> bytes:
+    """``raw`` without ``spans`` of its words; a line break stands where a span was."""
+    parts, done = [], 0
+    for a, b in spans:
+        parts.append(raw[done : at[a]])
+        done = at[b - 1] + len(words[b - 1])
+    return b"\n".join([*parts, raw[done:]])
+
+
+def over(spans: list[tuple[int, int]], n_words: int, max_coverage: float, max_span: int) -> bool:
+    """Whether a document with these hit spans is dropped."""
+    return sum(b - a for a, b in spans) > max_coverage * n_words or max((b - a for a, b in spans), default=0) > max_span
+
+
+def cut(text: str, automaton: Automaton, max_coverage: float, max_span: int) -> str | None:
+    """``text`` without its hit spans; None if it is over a limit.
 
     Cutting can bring the two sides of a span together, so it is repeated until
-    nothing is hit; a line break stands where a span was.
+    nothing is hit.  The limits count what the whole text held.
     """
-    n_words = hit = longest = 0
-    first = True
+    raw, first = text.encode(), True
     while True:
-        raw = text.encode()
-        low = raw.translate(_TABLE)
-        at, words = [], []
-        for w in low.split():
-            k = low.index(w, at[-1] + len(words[-1]) if at else 0)
-            at.append(k)
-            words.append(w)
-        spans = merged(s for a in automata for s in a.scan(words)[0])
-        if first:
-            n_words, hit, longest, first = len(words), sum(b - a for a, b in spans), max((b - a for a, b in spans), default=0), False
+        words, at = placed(raw)
+        spans = merged(automaton.scan(words)[0])
+        if first and over(spans, len(words), max_coverage, max_span):
+            return None
         if not spans:
-            return text, n_words, hit, longest
-        parts, done = [], 0
-        for a, b in spans:
-            parts.append(raw[done : at[a]])
-            done = at[b - 1] + len(words[b - 1])
-        parts.append(raw[done:])
-        text = b"\n".join(parts).decode()
+            return raw.decode()
+        raw, first = without(raw, words, at, spans), False
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE, max_span: int = MAX_SPAN, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` without contamination: spans are cut out, documents over a limit dropped.
 
     All columns stay; ``n_chars``, if there, is counted anew where a text was cut.
-    One pass over the documents for each block of items.
+    The result doesn't depend on the blocks the items are in: one block takes one
+    pass over the documents; more take a pass each over the documents, and again
+    over those that were cut, until nothing is hit.
     """
     bounded_batches(docs.sparkSession)
-    out = docs
-    for block in item_blocks(benchmark, block_words):
-        held = docs.sparkSession.sparkContext.broadcast(vars(Automaton(block, window)))
-
-        def run(batches, held=held):
-            a = Automaton.of(held.value)
-            for batch in batches:
-                keep, texts, changed = [], [], {}
-                for k, text in enumerate(batch["text"].to_pylist()):
-                    clean, n, hit, longest = cut(text, [a]) if text and a.scan(words_of(text.encode()))[0] else (text, 0, 0, 0)
-                    if hit and (hit > max_coverage * n or longest > max_span):
-                        continue
-                    keep.append(k)
-                    texts.append(clean)
-                    if hit:
-                        changed[len(keep) - 1] = len(clean)
-                left = batch.take(pa.array(keep, pa.int64()))
-                names = left.schema.names
-                left = left.set_column(names.index("text"), left.schema.field("text"), pa.array(texts, left.schema.field("text").type))
-                if changed and "n_chars" in names:
-                    counts = left["n_chars"].to_pylist()
-                    for k, n in changed.items():
-                        counts[k] = n
-                    left = left.set_column(names.index("n_chars"), left.schema.field("n_chars"), pa.array(counts, left.schema.field("n_chars").type))
-                yield left
-
-        out = out.mapInArrow(run, docs.schema)
-    return out
+    held = [_shared(docs.sparkSession, block, window) for block in item_blocks(benchmark, block_words)]
+    if len(held) > 1:
+        return _cut_in_rounds(docs, held, max_coverage, max_span)
+
+    def run(batches, held=held[0]):
+        a = Automaton.of(held.value)
+        for batch in batches:
+            keep, texts, changed = [], [], {}
+            for k, text in enumerate(batch["text"].to_pylist()):
+                hit = bool(text and a.scan(words_of(text.encode()))[0])
+                clean = cut(text, a, max_coverage, max_span) if hit else text
+                if hit and clean is None:
+                    continue
+                keep.append(k)
+                texts.append(clean)
+                if hit:
+                    changed[len(keep) - 1] = len(clean)
+            left = batch.take(pa.array(keep, pa.int64()))
+            names = left.schema.names
+            left = left.set_column(names.index("text"), left.schema.field("text"), pa.array(texts, left.schema.field("text").type))
+            if changed and "n_chars" in names:
+                counts = left["n_chars"].to_pylist()
+                for k, n in changed.items():
+                    counts[k] = n
+                left = left.set_column(names.index("n_chars"), left.schema.field("n_chars"), pa.array(counts, left.schema.field("n_chars").type))
+            yield left
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _cut_in_rounds(docs: DataFrame, held: list, max_coverage: float, max_span: int) -> DataFrame:
+    """``cut`` for several blocks: each round merges the spans of all blocks before it cuts.
+
+    Rows are numbered and written first, so that a number is the same row in every pass.
+    """
+    numbered = written(docs.withColumn("_cut_row", F.monotonically_increasing_id()), "decontamination-rows")
+    todo = numbered.select("_cut_row", F.col("text").cast("binary").alias("text"))
+    rounds = []
+    while True:
+        texts = todo.select(F.lit(None).cast("long").alias("doc_id"), F.col("_cut_row").alias("copy"), "text")
+        hits = reduce(DataFrame.unionByName, [_pass(texts, block, sparse=True) for block in held])
+        spans = hits.groupBy(F.col("copy").alias("_cut_row")).agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        limits = None if rounds else (max_coverage, max_span)
+        done = written(todo.join(spans, "_cut_row").select("_cut_row", "text", "spans").mapInArrow(_cutter(limits), "_cut_row long, text binary"), "decontamination-round")
+        if done.isEmpty():
+            break
+        rounds.append(done.select("_cut_row", F.lit(len(rounds)).alias("round"), F.col("text").cast("string").alias("text")))
+        todo = done.filter("text is not null")
+    if not rounds:
+        return numbered.drop("_cut_row")
+    last = reduce(DataFrame.unionByName, rounds).groupBy("_cut_row").agg(F.max(F.struct("round", "text")).alias("_cut_last"))
+    out = numbered.join(last, "_cut_row", "left").filter("_cut_last is null or _cut_last.text is not null")
+    hit, text = F.col("_cut_last").isNotNull(), F.col("_cut_last.text")
+    new = {"text": F.when(hit, text).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(hit, F.char_length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return out.withColumns(new).select(*docs.columns)
+
+
+def _cutter(limits: tuple[float, int] | None):
+    """Cuts the spans out of each text once; a document over ``limits`` gets null."""
+
+    def run(batches):
+        for batch in batches:
+            texts = []
+            for raw, row in zip(batch["text"].to_pylist(), batch["spans"].to_pylist(), strict=True):
+                words, at = placed(raw)
+                spans = merged((s["start"], s["stop"]) for s in row)
+                texts.append(None if limits and over(spans, len(words), *limits) else without(raw, words, at, spans))
+            yield pa.RecordBatch.from_arrays([batch["_cut_row"], pa.array(texts, pa.binary())], names=["_cut_row", "text"])
+
+    return run
 
 
 def op1_decontamination(spark, sf_dir):

@@ -1,7 +1,7 @@
 """Cases of the operators that once were left out."""
 
 import pytest
-from cairn.llm import pii
+from cairn.llm import decontamination, pii
 
 VALUE = "0123456789abcdef0123456789abcdef01234567"
 
@@ -21,3 +21,32 @@ def test_upper_case_text():
     assert pii.redact(text) == 'NOTE. TOKEN = "[secret]" SOCIAL SECURITY [ssn], IBAN [iban], [email]'
     # The Kelvin sign is no k.
     assert pii.find(f"toKen = {VALUE}", pii._automaton())["secret"] == []
+
+
+def test_decontamination_does_not_depend_on_blocks(spark):
+    """Documents hit by two items, each item a block of its own, in either order."""
+    w = lambda c, n: " ".join(f"{c}{k}" for k in range(n))
+    a, b = w("a", 12), w("b", 12)
+    halves = a.split()
+    joined = " ".join(halves[:6]) + " " + b + " " + " ".join(halves[6:])
+    docs = [
+        (1, a + " " + w("x", 8) + " " + b + " " + w("y", 8), 1),  # 12 of 40 words each: over half only together
+        (2, a + " " + b + " " + w("x", 100), 2),  # one span of 24 words across both items
+        (3, w("x", 50) + " " + joined + " é " + w("y", 50), 3),  # cutting b makes a
+        (3, w("x", 50), 4), (4, None, None), (5, w("x", 40) + " " + b, 5),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string, n_chars int").repartition(3)
+    for items in ([a, b], [b, a]):
+        bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string").coalesce(1)
+        kept = {}
+        for words in (10, 1000):
+            out = decontamination.decontaminate(df, bench, max_span=20, block_words=words)
+            assert out.schema == df.schema
+            kept[words] = sorted(map(tuple, out.collect()), key=repr)
+        assert kept[10] == kept[1000]
+        assert sorted(d for d, _, _ in kept[10]) == [3, 3, 4, 5]
+        clean = [(d, t) for d, t, _ in kept[10]]
+        assert not any(r[5] for r in decontamination.brute_force(clean, list(enumerate(items))))
+        assert {n for d, t, n in kept[10] if d == 5} == {len(t) for d, t, _ in kept[10] if d == 5}
+    none = spark.createDataFrame([(1, w("p", 12)), (2, w("q", 12))], "item_id long, text string")
+    assert decontamination.decontaminate(df, none, block_words=10).count() == len(docs)
