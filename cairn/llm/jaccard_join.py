@@ -135,7 +135,7 @@ def _chosen(s: np.ndarray, run: int, size: int) -> np.ndarray:
 
 
 def class_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, sets).  rows: doc_id, set_id of every document; sets: set_id, copies, keys, sketch of every distinct set.
+    """(rows, sets).  rows: doc_id, set_id, text_hash of every document; sets: set_id, copies, keys, sketch of every distinct set.
 
     ``set_id`` is a hash of the whole shingle set, null without one; ``keys`` are
     the buckets the set goes into on the first level.
@@ -154,14 +154,16 @@ def class_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 ids.append(set_id(s))
                 sketches.append(sketch(s).tobytes())
                 keys.append(np.concatenate([mixed(_chosen(s, r, len(s)) + np.uint64(r)) for r in range(runs)]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(ids, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "set_id", "keys", "sketch"])
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], batch["text_hash"], pa.array(ids, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "text_hash", "set_id", "keys", "sketch"]
+            )
 
     spark = docs.sparkSession
     bounded_batches(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    every = written(texts.mapInArrow(run, "doc_id long, set_id long, keys array<bigint>, sketch binary"), "jaccard-rows")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    every = written(texts.mapInArrow(run, "doc_id long, text_hash long, set_id long, keys array<bigint>, sketch binary"), "jaccard-rows")
     sets = every.filter("set_id is not null").groupBy("set_id").agg(F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
-    return every.select("doc_id", "set_id"), sets
+    return every.select("doc_id", "set_id", "text_hash"), sets
 
 
 class _Union:
@@ -471,22 +473,31 @@ def _with_shingles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(texts, "doc_id").select(*names, "text").mapInArrow(run, f"{fields}, shingles binary")
 
 
-def link_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, n_links of every row of ``docs``.
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, known).  rows as in ``class_sets``; known: set_id, doc_id, text_hash, copies, links, root of every set.
 
-    ``class_id`` is the smallest doc_id of the component of linked documents,
-    ``n_links`` the number of other documents at or over the threshold.
+    doc_id and text_hash are of the row that stands for the set, ``root`` names its component.
     """
     rows, sets = class_sets(docs)
     groups = components(candidate_edges(sets), "jaccard-groups").withColumnRenamed("id", "set_id")
     # One document stands for each set of a candidate group.
-    speaker = rows.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
-    members = written(_with_shingles(docs, speaker.join(groups, "set_id")), "jaccard-members")
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash")))
+    speaker = rows.filter("set_id is not null").groupBy("set_id").agg(first.alias("_first"), F.count(F.lit(1)).alias("copies")).select("set_id", "_first.*", "copies")
+    members = written(_with_shingles(docs, speaker.drop("text_hash").join(groups, "set_id")), "jaccard-members")
     told = written(verified(members), "jaccard-verified")
     links = told.groupBy("set_id").agg(F.sum("links").alias("links"))
     linked = components(told.filter("set_id <> root").select(F.col("set_id").alias("a"), F.col("root").alias("b")), "jaccard-classes").withColumnRenamed("id", "set_id")
     known = speaker.join(links, "set_id", "left").join(linked, "set_id", "left")
-    known = known.select("set_id", "doc_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "set_id").alias("root"))
+    return rows, known.select("set_id", "doc_id", "text_hash", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "set_id").alias("root"))
+
+
+def link_classes(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id, n_links of every row of ``docs``.
+
+    ``class_id`` is the smallest doc_id of the component of linked documents,
+    ``n_links`` the number of other documents at or over the threshold.
+    """
+    rows, known = _classes(docs)
     names = known.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     known = known.join(names, "root").select("set_id", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
     out = rows.join(known, "set_id", "left")
@@ -494,15 +505,20 @@ def link_classes(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stand for their class: its smallest doc_id, once.
+    """The rows of ``docs`` that stand for their class: one of its smallest doc_id for each class.
 
-    Rows without a doc_id stay.
+    Classes that share their smallest doc_id, because it stands on different texts,
+    keep a row each.  Texts without words are classes of their own; of rows equal in
+    doc_id and text one stays.  Rows without a doc_id stay.
     """
-    told = link_classes(docs)
-    stay = told.filter("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(stay, "doc_id", "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    kept = kept.withColumn("_copy", F.row_number().over(first)).filter("_copy = 1").drop("_copy")
+    rows, known = _classes(docs)
+    spoken = known.filter("doc_id is not null").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("_first")).select("_first.*")
+    wordless = rows.filter("set_id is null and doc_id is not null").select("doc_id", "text_hash")
+    stay = spoken.unionByName(wordless).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    kept = docs.withColumn("_text_hash", F.xxhash64("text"))
+    kept = kept.join(stay, (F.col("doc_id") == F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
+    same = Window.partitionBy("doc_id", "_text_hash").orderBy("text")
+    kept = kept.withColumn("_copy", F.row_number().over(same)).filter("_copy = 1").drop("_copy", "_text_hash")
     return kept.unionByName(docs.filter("doc_id is null"))
 
 

@@ -1,7 +1,7 @@
 """Cases of the operators that once were left out."""
 
 import pytest
-from cairn.llm import decontamination, pii
+from cairn.llm import decontamination, jaccard_join, pii
 
 VALUE = "0123456789abcdef0123456789abcdef01234567"
 
@@ -50,3 +50,17 @@ def test_decontamination_does_not_depend_on_blocks(spark):
         assert {n for d, t, n in kept[10] if d == 5} == {len(t) for d, t, _ in kept[10] if d == 5}
     none = spark.createDataFrame([(1, w("p", 12)), (2, w("q", 12))], "item_id long, text string")
     assert decontamination.decontaminate(df, none, block_words=10).count() == len(docs)
+
+
+def test_one_row_for_each_class_where_doc_ids_repeat(spark):
+    w = lambda c: " ".join(f"{c}{k}" for k in range(60))
+    rows = [
+        (1, w("a")), (2, w("b")), (2, w("a") + " more"),  # doc 2: a text of its own, and a near copy of doc 1
+        (3, w("c")), (3, w("d")), (3, w("d")), (4, w("d") + "!"),  # doc 3: two classes, one of them with repeats
+        (5, "..."), (5, None), (5, "?"), (5, "?"), (6, w("e")), (6, w("e").upper()), (None, w("a")),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, jaccard_join.one_of_each(df).collect()), key=repr)
+    sixth = [r for r in got if r[0] == 6]
+    assert len(sixth) == 1 and sixth[0] in rows
+    assert [r for r in got if r[0] != 6] == sorted([(1, w("a")), (2, w("b")), (3, w("c")), (3, w("d")), (5, "..."), (5, None), (5, "?"), (None, w("a"))], key=repr)
