@@ -26,6 +26,7 @@ size, about a megabyte) are broadcast.
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,10 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pre-token pattern of the vocabulary: fixed value.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 RULES = ("majority", "first", "last")
-#: Runs of white space longer than this are encoded piece by piece (the pattern engine's stack is limited).
+#: Runs of white space this long are encoded without the pattern (the stack of its engine is limited).
 LONG_SPACE = 1 << 14
+#: White space of the pattern's engine; that of Python has four more characters.
+_SPACE = r"[^\S\x1c-\x1f]"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -58,29 +61,33 @@ class Encoder:
             self.size[k] = len(token)
 
     def lengths(self, text: str) -> np.ndarray:
-        ids = [np.asarray(self.encoding.encode_to_numpy(part, allowed_special=set(), disallowed_special=()), np.int64) for part in pieces(text)]
+        ids = [np.asarray(self._ids(part), np.int64) for part in pieces(text)]
         return self.size[np.concatenate(ids)] if ids else np.zeros(0, np.int64)
 
 
+    def _ids(self, part: str):
+        if len(part) >= LONG_SPACE and re.fullmatch(f"{_SPACE}+", part):
+            return self.encoding._encode_single_piece(part)
+        return self.encoding.encode_to_numpy(part, allowed_special=set(), disallowed_special=())
+
+
 def pieces(text: str, longest: int = LONG_SPACE):
     """``text`` cut at pre-token boundaries only where white space runs on for ``longest`` or more.
 
     A run of white space is one pre-token up to its last character, which goes
-    with the word after it; such a run, past ``longest``, is cut into pieces.
+    with the word after it; such a run is a piece of its own, never cut, so the
+    pieces have the tokens of the whole text.
     """
     if len(text) < longest:
         if text:
             yield text
         return
-    import re
-
     done = 0
-    for m in re.finditer(rf"\s{{{longest},}}", text):
+    for m in re.finditer(rf"{_SPACE}{{{longest},}}", text):
         if m.start() > done:
             yield text[done : m.start()]
         stop = m.end() - (m.end() < len(text))
-        for k in range(m.start(), stop, longest):
-            yield text[k : min(stop, k + longest)]
+        yield text[m.start() : stop]
         done = stop
     if done < len(text):
         yield text[done:]

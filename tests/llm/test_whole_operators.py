@@ -1,7 +1,7 @@
 """Cases of the operators that once were left out."""
 
 import pytest
-from cairn.llm import decontamination, jaccard_join, pii
+from cairn.llm import decontamination, jaccard_join, pii, token_counts
 
 VALUE = "0123456789abcdef0123456789abcdef01234567"
 
@@ -64,3 +64,14 @@ def test_one_row_for_each_class_where_doc_ids_repeat(spark):
     sixth = [r for r in got if r[0] == 6]
     assert len(sixth) == 1 and sixth[0] in rows
     assert [r for r in got if r[0] != 6] == sorted([(1, w("a")), (2, w("b")), (3, w("c")), (3, w("d")), (5, "..."), (5, None), (5, "?"), (None, w("a"))], key=repr)
+
+
+@pytest.mark.parametrize("text", ["a " + "\n" * 20_001 + "b", "a" + "\n" * 20_001, " \n" * 9_000 + "\x1c" + "\n" * 16_385 + "b", "\n" * 16_384 + "b", "\n" * 16_384, "x" + "\r\n　" * 7_001 + "\x1f y"])
+def test_long_white_space_has_the_tokens_of_the_whole_text(text):
+    encoder = token_counts.Encoder(token_counts.read_ranks(token_counts.VOCABULARY))
+    assert encoder.lengths(text).tolist() == encoder.size[encoder.encoding.encode(text)].tolist()
+
+
+def test_white_space_beyond_the_stack_of_the_engine():
+    encoder = token_counts.Encoder(token_counts.read_ranks(token_counts.VOCABULARY))
+    assert encoder.lengths("a" + " " * 1_000_000 + "b").sum() == 1_000_002
