@@ -38,12 +38,25 @@ def dangling(tables: dict[str, DataFrame], references=REFERENCES) -> DataFrame:
     return out
 
 
-def stored_id_mismatches(layouts: DataFrame) -> DataFrame:
-    """Layouts whose stored id isn't the one their chunks give."""
-    again = ids.layout_id(F.col("object_id"), F.col("total_size_bytes"), F.col("chunks"))
+def stored_id_mismatches(layouts: DataFrame, **form) -> DataFrame:
+    """Layouts whose stored id isn't the one their chunks give; ``form``: strategy and cdc, as in ``ids.layout_hex``."""
+    again = ids.layout_id(F.col("object_id"), F.col("total_size_bytes"), F.col("chunks"), **form)
     return layouts.withColumn("computed_id", again).filter("computed_id <> layout_id").select("layout_id", "computed_id")
 
 
+def stored_version_mismatches(versions: DataFrame) -> DataFrame:
+    """Versions whose stored id isn't the one of their artifact, object, parent and metadata (a map)."""
+    again = ids.version_id(F.col("artifact_id"), F.col("root_object_id"), F.col("parent_version_id"), F.col("metadata"))
+    return versions.withColumn("computed_id", again).filter(~F.col("computed_id").eqNullSafe(F.col("version_id"))).select("version_id", "computed_id")
+
+
+def stored_manifest_mismatches(entries: DataFrame) -> DataFrame:
+    """Manifests whose stored id isn't the one of their roles and versions."""
+    listed = F.map_from_entries(F.collect_list(F.struct("role", "version_id")))
+    per = entries.groupBy("manifest_id").agg(ids.manifest_id(listed).alias("computed_id"))
+    return per.filter(~F.col("computed_id").eqNullSafe(F.col("manifest_id"))).select("manifest_id", "computed_id")
+
+
 def rollup_mismatches(layouts: DataFrame, layout_chunks: DataFrame) -> DataFrame:
     """Layouts whose stored count or size isn't that of their chunks."""
     per = layout_chunks.groupBy("layout_id").agg(F.count(F.lit(1)).alias("n"), F.sum("chunk_size_bytes").alias("bytes"))

@@ -44,3 +44,26 @@ def test_runs_of_all_orders(spark, small, con):
     got = REGISTRY["run_times"](spark, small)
     assert_same(got, con, SQL["run_times"].replace(" WHERE o_orderkey % 10 = 0", ""))
     assert got.count() == con.execute("select count(*) from orders").fetchone()[0]
+
+
+def test_altered_descriptors(spark):
+    """Altered versions, manifests and content-defined layouts are reported, sound ones aren't."""
+    from pyspark.sql import functions as F
+
+    from cairn.functions import ids
+    from cairn.operators import validate
+
+    a, b, cdc = "a" * 64, "b" * 64, {"strategy": K.FASTCDC, "cdc": (256, 1024, 4096)}
+    v = spark.createDataFrame([("0-1", a, None, {"k": "v"}), ("0-2", b, a, {})], "artifact_id string, root_object_id string, parent_version_id string, metadata map<string,string>")
+    v = v.withColumn("version_id", ids.version_id(*[F.col(c) for c in ("artifact_id", "root_object_id", "parent_version_id", "metadata")])).localCheckpoint()
+    assert validate.stored_version_mismatches(v).count() == 0
+    assert validate.stored_version_mismatches(v.withColumn("metadata", F.create_map(F.lit("k"), F.lit("w")))).count() == 2
+    m = spark.createDataFrame([("x", a), ("y", b)], "role string, version_id string")
+    stored = m.agg(ids.manifest_id(F.map_from_entries(F.collect_list(F.struct("role", "version_id")))).alias("manifest_id")).first()[0]
+    m = m.withColumn("manifest_id", F.lit(stored))
+    assert validate.stored_manifest_mismatches(m).count() == 0
+    assert validate.stored_manifest_mismatches(m.filter("role = 'x'")).count() == 1
+    layout = spark.createDataFrame([(a, 5, [(b, 0, 5)])], "object_id string, total_size_bytes long, chunks array<struct<chunk_id:string,byte_offset:long,chunk_size_bytes:long>>")
+    layout = layout.withColumn("layout_id", ids.layout_id(F.col("object_id"), F.col("total_size_bytes"), F.col("chunks"), **cdc))
+    assert validate.stored_id_mismatches(layout, **cdc).count() == 0
+    assert validate.stored_id_mismatches(layout.withColumn("total_size_bytes", F.lit(6)), **cdc).count() == 1
