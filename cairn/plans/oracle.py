@@ -58,14 +58,14 @@ CATALOG = {
     "protected": "SELECT version_id FROM pins UNION SELECT version_id FROM tags UNION SELECT version_id FROM manifest_entries",
     "retirements": "SELECT version_id, coalesce(kind, 'generic') AS artifact_kind, 'policy-retire' AS reason FROM versions WHERE doc_no % 7 = 0 AND version_id NOT IN (SELECT version_id FROM protected)",
     "sessions": f"""SELECT {uuid("'s' || doc_no")} AS session_id, 'committed' AS state, version_id AS finalized_version_id FROM versions WHERE doc_no % 5 = 0
-        UNION ALL SELECT {uuid("'e' || event_id")}, 'open', NULL FROM events WHERE event_id % 1000 = 0""",
+        UNION ALL SELECT {uuid("'e' || event_id")}, CASE WHEN event_id % 1000 = 0 THEN 'open' ELSE 'aborted' END, NULL FROM events""",
     "finalizations": f"SELECT {uuid("'s' || doc_no")} AS session_id, layout_id FROM versions JOIN layouts ON object_id = root_object_id WHERE doc_no % 5 = 0 AND chunk_size = 1024",
     "readable": "SELECT chunk_id, node_id, address, port FROM locations l JOIN nodes n USING (node_id) WHERE l.state = 'available' AND n.state IN ('active', 'draining')",
     "best": "SELECT object_id, min(layout_id) AS layout_id FROM layouts l WHERE NOT EXISTS (SELECT 1 FROM layout_chunks c WHERE c.layout_id = l.layout_id AND c.chunk_id NOT IN (SELECT chunk_id FROM readable)) GROUP BY 1",
     "outcomes": """SELECT v.version_id, CASE WHEN v.state <> 'committed' THEN 'not-committed' WHEN v.version_id IN (SELECT version_id FROM retirements) THEN 'retired' WHEN b.layout_id IS NULL THEN 'source-unavailable' ELSE 'ok' END AS outcome, b.layout_id
       FROM versions v LEFT JOIN best b ON b.object_id = v.root_object_id""",
     "plan": "SELECT version_id, chunk_index, chunk_id, chunk_size_bytes FROM outcomes o JOIN layout_chunks c ON c.layout_id = o.layout_id WHERE outcome = 'ok'",
-    "pushed": f"SELECT {uuid("'p' || doc_id")} AS session_id, chunk_index, chunk_id, chunk_size_bytes FROM docs JOIN pieces USING (object_id) WHERE doc_id % 10 = 0 AND chunk_size = 1024",
+    "pushed": f"SELECT {uuid("'p' || doc_id")} AS session_id, chunk_index, chunk_id, chunk_size_bytes FROM docs JOIN pieces USING (object_id) WHERE chunk_size = 1024",
     "replicas": """SELECT session_id, chunk_id, node_id, any_value(chunk_size_bytes) AS size, CASE
         WHEN (chunk_id, node_id) NOT IN (SELECT (chunk_id, node_id) FROM locations WHERE state = 'available') THEN 'put'
         WHEN (chunk_id, node_id) IN (SELECT (chunk_id, node_id) FROM inventory WHERE chunk_id NOT LIKE '%7') THEN 'verify' ELSE 'repair' END AS action
@@ -118,10 +118,10 @@ COUNT = "count(*)::BIGINT"
 _OUTCOME = f"""SELECT session_id, CASE WHEN state = 'aborted' THEN 'session-not-open' WHEN version_id IN (SELECT version_id FROM retirements) THEN 'version-retired'
     WHEN state = 'committed' AND doc_id % 100 <> 0 THEN 'retry-mismatch' WHEN state = 'committed' THEN 'ok' WHEN bad THEN 'size-mismatch' WHEN under THEN 'under-replicated' ELSE 'ok' END AS outcome
   FROM (SELECT doc_id, version_id, {uuid("'p' || doc_id")} AS session_id, CASE WHEN doc_id % 70 = 0 THEN 'aborted' WHEN doc_id % 50 = 0 THEN 'committed' ELSE 'open' END AS state, CASE WHEN doc_id % 30 = 0 THEN 512 ELSE 1024 END AS size
-    FROM version_docs WHERE doc_id % 10 = 0) s
+    FROM version_docs) s
   LEFT JOIN (SELECT session_id, bool_or((chunk_id, node_id) NOT IN (SELECT (chunk_id, node_id) FROM locations WHERE state = 'available')) AS under FROM pushed JOIN desired USING (chunk_id) GROUP BY 1) USING (session_id)
   LEFT JOIN (SELECT session_id, bool_or(CASE WHEN final THEN chunk_size_bytes > size ELSE chunk_size_bytes <> size END) AS bad FROM (SELECT p.session_id, p.chunk_size_bytes, d.size,
-      lead(chunk_index) OVER (PARTITION BY p.session_id ORDER BY chunk_index) IS NULL AS final FROM pushed p JOIN (SELECT {uuid("'p' || doc_id")} AS session_id, CASE WHEN doc_id % 30 = 0 THEN 512 ELSE 1024 END AS size FROM docs WHERE doc_id % 10 = 0) d USING (session_id)) GROUP BY 1) USING (session_id)"""
+      lead(chunk_index) OVER (PARTITION BY p.session_id ORDER BY chunk_index) IS NULL AS final FROM pushed p JOIN (SELECT {uuid("'p' || doc_id")} AS session_id, CASE WHEN doc_id % 30 = 0 THEN 512 ELSE 1024 END AS size FROM docs) d USING (session_id)) GROUP BY 1) USING (session_id)"""
 
 SQL = {
     "chunk_dedup_by_source": f"""SELECT source, {COUNT} AS chunks, count(DISTINCT chunk_id)::BIGINT AS unique_chunks, sum(n)::BIGINT AS bytes, (SELECT sum(m) FROM (SELECT any_value(x.n) AS m FROM flat x WHERE x.source IS NOT DISTINCT FROM flat.source GROUP BY x.chunk_id))::BIGINT AS unique_bytes, 0.0 AS dedup_ratio FROM flat GROUP BY source""",
@@ -189,7 +189,7 @@ SQL = {
       UNION ALL SELECT 'session', substr(session_id, 15, 1) = '7' AND substr(session_id, 20, 1) IN ('8', '9', 'a', 'b') AND length(session_id) = 36 FROM sessions UNION ALL SELECT 'address', node_id <> 'node-2' FROM nodes) GROUP BY 1""",
     "placement_set_valid": "SELECT o_orderkey, (o_orderkey % 4) BETWEEN 1 AND 3 AND o_orderkey % 7 < (o_orderkey + 1) % 7 AND (o_orderkey + 1) % 7 < (o_orderkey + 2) % 7 AS valid FROM orders",
     "policy_valid": f"""SELECT policy_id::VARCHAR AS policy_id, count(*) = 5 AND count(DISTINCT k) = 5 AND bool_and(keep BETWEEN 0 AND 1000 AND (age IS NULL OR age BETWEEN 0 AND 315360000)) AND policy_id <> 7 AS valid FROM (SELECT p_partkey // 5 AS policy_id, p_partkey % 5 AS k,
-        p_size * CASE WHEN p_partkey % 41 = 0 THEN 1000 ELSE 1 END AS keep, CASE WHEN p_partkey % 3 = 0 THEN p_partkey * 1000 END AS age FROM part WHERE p_partkey <= 500) WHERE policy_id % 9 <> 1 OR k <> 0 GROUP BY policy_id""",
+        p_size * CASE WHEN p_partkey % 41 = 0 THEN 1000 ELSE 1 END AS keep, CASE WHEN p_partkey % 3 = 0 THEN p_partkey * 1000 END AS age FROM part) WHERE policy_id % 9 <> 1 OR k <> 0 GROUP BY policy_id""",
     "busy_guards": "SELECT count(*) FILTER (WHERE state = 'open') > 0 AS open_sessions, false AS open_gc, false AS open_replication FROM sessions",
     "cdc_parameters_valid": """SELECT p_partkey, lo >= 64 AND avg >= 64 AND (avg & (avg - 1)) = 0 AND lo <= avg AND avg <= hi AND hi <= 8388608 AS valid FROM (SELECT p_partkey, (p_size * 16)::BIGINT AS lo,
         pow(2, p_partkey % 14)::BIGINT + CASE WHEN p_partkey % 29 = 0 THEN 1 ELSE 0 END AS avg, p_partkey * 64 AS hi FROM part)""",
@@ -198,7 +198,7 @@ SQL = {
     "insert_if_absent_chunks": "SELECT chunk_id, size_bytes FROM chunks",
     "insert_conflicts": "SELECT chunk_id FROM chunks WHERE substr(chunk_id, 1, 2) = 'ab'",
     "version_transitions": "SELECT version_id, CASE WHEN state = 'staging' AND version_id NOT IN (SELECT version_id FROM protected) THEN 'committed' ELSE state END AS state FROM versions",
-    "run_times": "SELECT o_orderkey, (epoch_us(o_orderdate) + o_orderkey % 1000 + 500) // 1000 AS started_ms, CASE WHEN o_orderstatus <> 'O' THEN (epoch_us(o_orderdate) + o_orderkey % 1000 + 1500499 + 500) // 1000 END AS completed_ms FROM orders WHERE o_orderkey % 10 = 0",
+    "run_times": "SELECT o_orderkey, (epoch_us(o_orderdate) + o_orderkey % 1000 + 500) // 1000 AS started_ms, CASE WHEN o_orderstatus <> 'O' THEN (epoch_us(o_orderdate) + o_orderkey % 1000 + 1500499 + 500) // 1000 END AS completed_ms FROM orders",
     "throughput_median": "SELECT event_type, quantile_cont(value, 0.5) AS median_s, CASE WHEN quantile_cont(value, 0.5) > 0 THEN 64.0::DOUBLE / quantile_cont(value, 0.5) ELSE 0 END AS mib_per_s FROM events GROUP BY 1",
     "event_windows": f"SELECT epoch_us(date_trunc('hour', ts)) AS hour_us, event_type, {COUNT} AS n, max(value) AS max_value FROM events GROUP BY 1, 2",
 }
