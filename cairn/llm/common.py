@@ -14,6 +14,7 @@ import sys
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,3 +68,20 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def word_count(text: str) -> "F.Column":
     """Number of white-space words of a column; null has none."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(NON_SPACE)), F.lit(0)).cast("long")
+
+
+POWER_BASE = 0x9E3779B97F4A7C15
+
+
+class Powers:
+    """Powers of the base and of its inverse modulo 2^64, grown as needed."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        while len(self.up) < n:
+            size = len(self.up)
+            self.up = np.concatenate((self.up, self.up * np.uint64(pow(POWER_BASE, size, 2**64))))
+            self.down = np.concatenate((self.down, self.down * np.uint64(pow(POWER_BASE, -size, 2**64))))
+        return self.up[:n], self.down[:n]

@@ -42,11 +42,12 @@ MAX_COVERAGE = 0.5
 #: Documents with a hit span longer than this are dropped.
 MAX_SPAN = 1_000
 
-_TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+#: Bytes of words as they are normalised; every other byte becomes a space.
+WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
 def words_of(text: bytes | None) -> list[bytes]:
-    return text.translate(_TABLE).split() if text else []
+    return text.translate(WORD_BYTES).split() if text else []
 
 
 class Automaton:
@@ -252,7 +253,7 @@ def n_hit():
 
 def placed(raw: bytes) -> tuple[list[bytes], list[int]]:
     """The words of ``raw`` and where each begins."""
-    low = raw.translate(_TABLE)
+    low = raw.translate(WORD_BYTES)
     words, at, done = low.split(), [], 0
     for w in words:
         at.append(low.index(w, done))

@@ -4,12 +4,17 @@ A document is its set of five-word shingles (a shorter one is a single shingle o
 all its words).  Two documents are linked if the Jaccard similarity of their sets
 is at least 0.8.
 
-Chosen paths: in each run every set keeps the shingles whose hash, drawn anew for
-the run, is under 1 / (0.8 * size), 1.25 of them on average, and goes into a bucket
-for each.  Similar sets choose shared shingles and so meet.  Buckets over
-``LIMIT`` sets are split again the same way by tokens of the sets' sketches, and
-at most ``DEPTH`` times.  Small buckets are compared by brute force.  The runs are
-repeated until the wanted recall: their number follows from the depth.
+Chosen paths: every set samples those of its shingles whose hash is under
+``RUNS / (0.8 * size)`` and goes into a bucket for each; slice r of that range of
+hashes is run r, so all runs share one pass and one bucket per shingle.  A shingle
+that one set of a linked pair sampled is sampled by the other with a chance of 0.8
+at least.  Buckets up to ``LIMIT`` sets are compared by brute force.  A set that
+stands in enough of them for the wanted recall is settled and leaves its larger
+buckets; the rest of those is split: every set goes on with one shingle of its own,
+the least of the first slot of its sketch in an order drawn for the bucket, which
+two sets have in common with the chance of their similarity.  Splitting is repeated
+until buckets are small, and the runs below the first level are repeated with fresh
+orders until every set has its recall.
 
 * Sets are compared in buckets by sketches (one-permutation minhash, 256 slots of
   a byte) with a margin of five standard deviations under the threshold, and what
@@ -17,10 +22,10 @@ repeated until the wanted recall: their number follows from the depth.
   then compared exactly, so a group's links are complete even where no run put
   the pair in one bucket.
 * Equal sets are one class from the start; copies are never compared.
-* A bucket that no split makes small holds near copies of one another.  Its
-  members are compared with the bucket's first set; those that nearly equal it
-  are united with it and leave (whatever is near to them is near to it too).  What
-  is left after the last level is compared in blocks, all pairs of blocks.
+* The sets of a large bucket are compared with its first set; those that nearly
+  equal it are united with it and leave all buckets (whatever is near to them is
+  near to it too).  A bucket whose sets are like its first on the whole would not
+  get small by splitting; it is compared in blocks, all pairs of blocks.
 * Large candidate groups are verified in blocks too: a task holds two blocks.
 * Shingles and sets are known by 64-bit hashes.
 * Pairs are never emitted.  A task returns, for each set, the number of its links
@@ -46,36 +51,38 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, load, written
-from .decontamination import words_of
+from .common import Powers, bounded_batches, load, written
+from .decontamination import WORD_BYTES, words_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
-RECALL = 0.999
-#: Levels of splitting after the first.
-DEPTH = 2
+RECALL = 0.9999
+#: What the misses of independent paths must add up to, as a negative logarithm; and the runs whose expected shared shingles give it.
+NEED = -math.log(1 - RECALL)
+RUNS = math.ceil(NEED)
 #: Sets of a bucket up to which it is compared by brute force.
-LIMIT = 512
+LIMIT = 1024
 SLOTS = 256
+#: Bytes of a text that are hashed at a time.
+PIECE = 1 << 22
 #: Sets of a block in exact verification.
 BLOCK = 1024
-#: Sketch similarity from which a pair is a candidate, and from which a set leaves with its pivot.
+#: Sketch similarity from which a pair is a candidate, and from which a set leaves with its first set.
 CANDIDATE = THRESHOLD - 5 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / SLOTS)
 ABSORB = 0.94
+#: Mean similarity to its first set from which a large bucket isn't split but compared.
+DENSE = 0.9 * THRESHOLD
+#: Levels after which any bucket is compared, not split.
+DEEPEST = 24
+#: A smaller set has no link to a different one: a shingle more or less is over the threshold.
+LEAST = math.ceil(THRESHOLD / (1 - THRESHOLD) - 1e-9)
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-def n_runs(recall: float = RECALL, depth: int = DEPTH) -> int:
-    """Runs for the recall of a pair at the threshold.
-
-    The shared shingles a pair chooses on a level are Poisson with mean 1 at
-    least, so it survives to level d with p(d) = 1 - exp(-p(d - 1)).
-    """
-    p = 1.0
-    for _ in range(depth + 1):
-        p = 1 - math.exp(-p)
-    return math.ceil(math.log(1 - recall) / math.log(1 - p))
+def settles(depth: int) -> float:
+    """What a path of ``depth`` shared choices adds to ``NEED``: each is shared with a chance of the threshold at least."""
+    return -math.log(1 - THRESHOLD**depth)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -84,28 +91,39 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Words(dict):
-    """Word -> hash; forgets all when it has grown large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 19:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def shingles(text: bytes | None, words: dict) -> np.ndarray:
+def word_hashes(text: bytes, powers: Powers) -> np.ndarray:
+    """A hash of each word, from polynomial prefix sums over the bytes; no word becomes an object."""
+    low = text.translate(WORD_BYTES)
+    out, at = [], 0
+    while at < len(low):
+        stop = len(low)
+        if stop - at > PIECE:
+            stop = low.find(b" ", at + PIECE) + 1 or stop
+        raw = np.frombuffer(low, np.uint8, stop - at, at)
+        edges = np.flatnonzero(np.diff(np.concatenate(([False], raw != 32, [False])).astype(np.int8)))
+        starts, stops = edges[::2], edges[1::2]
+        up, down = powers.to(len(raw) + 1)
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(raw * up[: len(raw)], out=sums[1:])
+        out.append(mixed((sums[stops] - sums[starts]) * down[starts]))
+        at = stop
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def shingles(text: bytes | None, powers: Powers) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles."""
-    found = words_of(text)
-    if not found:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(words.__getitem__, found), np.uint64, len(found))
+    h = word_hashes(text or b"", powers)
+    if not len(h):
+        return h
     size = min(SHINGLE, len(h))
     n = len(h) - size + 1
     out = np.full(n, size, np.uint64)
     for k in range(size):
-        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n])
-    return np.unique(out)
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += h[k : k + n]
+    out = mixed(out)
+    out.sort()
+    return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
 def set_id(s: np.ndarray) -> int:
@@ -113,12 +131,11 @@ def set_id(s: np.ndarray) -> int:
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """A byte for each slot: of the least shingle that falls in it, 0 if none does."""
+    """A byte for each slot: of the least shingle that falls in it, 0 if none does.  Shingles come sorted."""
     out = np.zeros(SLOTS, np.uint8)
-    m = np.sort(mixed(s ^ np.uint64(0x5851F42D4C957F2D)))
-    slot = (m >> np.uint64(56)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1]))) if len(m) else np.zeros(0, np.int64)
-    out[slot[first]] = (mixed(m[first]) % np.uint64(255)).astype(np.uint8) + 1
+    slot = (s >> np.uint64(56)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1]))) if len(s) else np.zeros(0, np.int64)
+    out[slot[first]] = (mixed(s[first]) % np.uint64(255)).astype(np.uint8) + 1
     return out
 
 
@@ -128,10 +145,11 @@ def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return same / np.maximum(((a | b) > 0).sum(axis=-1), 1)
 
 
-def _chosen(s: np.ndarray, run: int, size: int) -> np.ndarray:
-    """Tokens of a set that a run samples: those with a hash under 1 / (threshold * size)."""
-    h = mixed(s + np.uint64((run + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-    return h[h <= np.uint64(min(2**64 - 1, int(2**64 / (THRESHOLD * size))))]
+def chosen(s: np.ndarray) -> np.ndarray:
+    """The shingles of a set that its runs sample, with the chance ``RUNS / (threshold * size)`` each."""
+    if len(s) < LEAST:
+        return s[:0]
+    return s[mixed(s ^ np.uint64(0x5851F42D4C957F2D)) <= np.uint64(min(2**64 - 1, int(2**64 * RUNS / (THRESHOLD * len(s)))))]
 
 
 def class_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -140,20 +158,19 @@ def class_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``set_id`` is a hash of the whole shingle set, null without one; ``keys`` are
     the buckets the set goes into on the first level.
     """
-    runs = n_runs()
 
     def run(batches):
-        words = _Words()
+        powers = Powers()
         for batch in batches:
             ids, sketches, keys = [], [], []
             for text in batch["text"].to_pylist():
-                s = shingles(text, words)
+                s = shingles(text, powers)
                 if not len(s):
                     ids.append(None), sketches.append(None), keys.append(None)
                     continue
                 ids.append(set_id(s))
                 sketches.append(sketch(s).tobytes())
-                keys.append(np.concatenate([mixed(_chosen(s, r, len(s)) + np.uint64(r)) for r in range(runs)]).view(np.int64))
+                keys.append(chosen(s).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], batch["text_hash"], pa.array(ids, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "text_hash", "set_id", "keys", "sketch"]
             )
@@ -211,15 +228,18 @@ def _edges_of(ids: np.ndarray, keys: np.ndarray, sketches: np.ndarray) -> list[t
             part = i[k : k + (1 << 14)]
             good = similarity(sketches[part], sketches[part + step]) >= CANDIDATE
             unite(part[good], part[good] + step)
-    # Larger ones: a pivot against the rest; what nearly equals it leaves with it.
+    # Larger ones: each set against those after it that aren't of its group yet.
     for start, size in zip(starts[sizes > 32].tolist(), sizes[sizes > 32].tolist(), strict=True):
-        left = np.arange(start, start + size)
-        while len(left) > 1:
-            pivot, left = left[0], left[1:]
-            near = similarity(sketches[left], sketches[pivot])
-            good = left[near >= CANDIDATE]
-            unite(np.full(len(good), pivot), good)
-            left = left[near < ABSORB]
+        rows = np.arange(start, start + size)
+        group = np.array([union.root(node[k]) for k in rows])
+        for k in range(size - 1):
+            other = k + 1 + np.flatnonzero(group[k + 1 :] != group[k])
+            if not len(other):
+                continue
+            good = other[similarity(sketches[rows[other]], sketches[rows[k]]) >= CANDIDATE]
+            if len(good):
+                unite(np.full(len(good), rows[k]), rows[good])
+                group[np.isin(group, group[good])] = group[k]
     return out
 
 
@@ -252,87 +272,118 @@ def _bucket_edges(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, EDGES)
 
 
-def _split(rows: DataFrame, level: int) -> DataFrame:
-    """Buckets split by sampled tokens (slot, value) of the sketches."""
+def _split(rows: DataFrame, salt: int) -> DataFrame:
+    """Buckets split by the shingles of their sets: each set goes on with one, known by its slot and byte."""
 
     def run(batches):
-        slots = np.arange(SLOTS, dtype=np.uint64)
+        slots = mixed(np.arange(1, SLOTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        turn = mixed(np.array([salt + 1], np.uint64))[0]
         for batch in batches:
-            keys, take = [], []
-            for k, (key, sk) in enumerate(zip(batch["key"].to_pylist(), batch["sketch"].to_pylist(), strict=True)):
-                values = np.frombuffer(sk, np.uint8)
-                used = values > 0
-                tokens = slots[used] << np.uint64(8) | values[used]
-                got = _chosen(tokens + np.uint64(key & 0xFFFFFFFFFFFFFFFF), level + 1000, int(used.sum()))
-                keys.append(mixed(got + np.uint64(level)).view(np.int64))
-                take += [k] * len(got)
-            left = batch.take(pa.array(take, pa.int64()))
-            fresh = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(fresh), left["set_id"], left["sketch"]], names=["key", "set_id", "sketch"])
+            keys = batch["key"].to_numpy(zero_copy_only=False).view(np.uint64)
+            values = np.frombuffer(b"".join(batch["sketch"].to_pylist()), np.uint8).reshape(-1, SLOTS)
+            order = mixed(mixed(keys ^ turn)[:, None] + slots) | np.uint64(1)
+            order[values == 0] = np.uint64(2**64 - 1)
+            least = order.argmin(axis=1)
+            token = (least.astype(np.uint64) << np.uint64(8)) | values[np.arange(len(values)), least]
+            fresh = mixed(mixed(keys ^ turn) + (token + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
+            yield pa.RecordBatch.from_arrays([pa.array(fresh.view(np.int64)), batch["set_id"], batch["sketch"]], names=["key", "set_id", "sketch"])
 
     return rows.select("key", "set_id", "sketch").mapInArrow(run, "key long, set_id long, sketch binary")
 
 
-def _against_pivot(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(edges to the first set of each bucket, rows that stay in the bucket, sets that a pivot stands for).
-
-    A bucket of which every set is a candidate of its pivot is done: all its
-    pairs are in one candidate group.
-    A pivot that another pivot stands for stands for nobody, so likeness doesn't
-    drift along a chain.
-    """
+def _against_first(rows: DataFrame) -> DataFrame:
+    """Rows of large buckets beside the first set of their bucket: key, set_id, sketch, first, near."""
 
     def run(batches):
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, SLOTS) for c in ("sketch", "pivot_sketch"))
-            near = similarity(a, b)
-            kind = np.where(near >= ABSORB, 2, np.where(near >= CANDIDATE, 1, 0))
-            yield pa.RecordBatch.from_arrays([batch["key"], batch["set_id"], batch["sketch"], batch["pivot"], pa.array(kind, pa.int32())], names=["key", "set_id", "sketch", "pivot", "kind"])
+            a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, SLOTS) for c in ("sketch", "first_sketch"))
+            yield pa.RecordBatch.from_arrays([batch["key"], batch["set_id"], batch["sketch"], batch["first"], pa.array(similarity(a, b))], names=["key", "set_id", "sketch", "first", "near"])
 
-    pivots = rows.groupBy("key").agg(F.min("set_id").alias("pivot"), F.min_by("sketch", "set_id").alias("pivot_sketch"))
-    told = written(rows.join(pivots, "key").mapInArrow(run, "key long, set_id long, sketch binary, pivot long, kind int"), "jaccard-pivots")
-    edges = told.filter("kind > 0 and set_id <> pivot").select(F.col("pivot").alias("a"), F.col("set_id").alias("b")).distinct()
-    equal = told.filter("kind = 2 and set_id <> pivot").select("set_id", "pivot").distinct()
-    gone = equal.join(equal.select(F.col("set_id").alias("pivot")).distinct(), "pivot", "left_anti").select("set_id").distinct()
-    undone = told.filter("kind = 0").select("key").distinct()
-    return edges, told.filter("kind < 2").select("key", "set_id", "sketch").join(undone, "key", "left_semi"), gone
+    firsts = rows.groupBy("key").agg(F.min("set_id").alias("first"), F.min_by("sketch", "set_id").alias("first_sketch"))
+    return written(rows.join(firsts, "key").mapInArrow(run, "key long, set_id long, sketch binary, first long, near double"), "jaccard-first")
 
 
-def _sized(rows: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
-    """Rows of buckets of 2 to ``LIMIT`` sets, and of larger ones."""
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    held = written(rows.join(sizes, "key"), label)
-    return held.filter(F.col("n") <= LIMIT).drop("n"), held.filter(F.col("n") > LIMIT).drop("n")
+def _settled(parts: list[DataFrame]) -> DataFrame:
+    """set_id and its sum of ``gain``."""
+    return _union(parts).groupBy("set_id").agg(F.sum("gain").alias("gain"))
+
+
+def _descend(rows: DataFrame, gained: DataFrame, salt: int, depth: int) -> tuple[list[DataFrame], DataFrame]:
+    """Splits buckets until they are small.  (edges, gains): candidate edges, and set_id, gain of all sets in ``rows``.
+
+    ``gained`` is what the sets have been given before; a set with ``NEED`` leaves.
+    A set that a first set stands for leaves too, with all it needs.
+    """
+    edges = []
+    while True:
+        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        held = written(rows.join(sizes, "key"), "jaccard-level")
+        small, large = held.filter(F.col("n") <= LIMIT), held.filter(F.col("n") > LIMIT).drop("n")
+        gain = F.lit(settles(depth)).alias("gain")
+        gains = [gained, small.select("set_id", gain)]
+        edges.append(_bucket_edges(small.filter("n > 1")))
+        if large.isEmpty():
+            return edges, written(_settled(gains), "jaccard-gains")
+        told = _against_first(large)
+        # A first set that another first set stands for stands for nobody, so likeness doesn't drift along a chain.
+        equal = told.filter((F.col("near") >= ABSORB) & (F.col("set_id") != F.col("first"))).select("set_id", "first").distinct()
+        gone = equal.join(equal.select(F.col("set_id").alias("first")).distinct(), "first", "left_anti").select("set_id").distinct()
+        state = told.groupBy("key").agg(
+            F.avg("near").alias("mean"), F.min("near").alias("least"), F.max(F.when(F.col("set_id") != F.col("first"), F.col("near"))).alias("most"),
+        )
+        # Where sets leave with the first one, what is near to them must be found by it.
+        state = written(
+            state.select("key", (F.col("least") >= CANDIDATE).alias("one"), ((F.col("mean") >= DENSE) | F.lit(depth >= DEEPEST)).alias("dense"), F.when(F.col("most") >= ABSORB, CANDIDATE - (1 - ABSORB)).otherwise(CANDIDATE).alias("bar")),
+            "jaccard-state",
+        )
+        told = told.join(state, "key")
+        edges.append(told.filter((F.col("near") >= F.col("bar")) & (F.col("set_id") != F.col("first"))).select(F.col("first").alias("a"), F.col("set_id").alias("b")).distinct())
+        left = told.join(gone, "set_id", "left_anti").filter("not one")
+        gains += [told.filter("one").select("set_id", gain), gone.select("set_id", F.lit(NEED).alias("gain"))]
+        if not state.filter("dense and not one").isEmpty():
+            dense = left.filter("dense")
+            edges.append(_blocks(dense.select("key", "set_id", "sketch")))
+            gains.append(dense.select("set_id", gain))
+        gained = written(_settled(gains), "jaccard-gains")
+        still = left.filter("not dense").select("key", "set_id", "sketch")
+        still = still.join(gained.filter(F.col("gain") >= NEED).select("set_id"), "set_id", "left_anti")
+        rows, depth = written(_split(still, salt), "jaccard-split"), depth + 1
 
 
 def candidate_edges(sets: DataFrame) -> DataFrame:
     """Edges that span the candidate groups of sets."""
     first = sets.select(F.explode("keys").alias("key"), "set_id")
     sizes = first.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    meet = first.join(sizes, "key")
+    meet = written(first.join(sizes, "key"), "jaccard-buckets")
     # Sketches go only to sets that meet another; keys and ids are all that was dealt so far.
-    rows = written(meet.join(sets.select("set_id", "sketch"), "set_id"), "jaccard-buckets")
-    small, large = rows.filter(F.col("n") <= LIMIT), rows.filter(F.col("n") > LIMIT).drop("n")
-    edges = []
-    for level in range(1, DEPTH + 1):
-        if large.isEmpty():
-            break
-        star, left, gone = _against_pivot(large)
-        # A set for which a pivot stands takes no part in other buckets either; the pivot does.
-        edges += [star, _bucket_edges(small.join(gone, "set_id", "left_anti"))]
-        split = written(_split(left.join(gone, "set_id", "left_anti"), level), f"jaccard-split-{level}")  # read twice below
-        small, large = _sized(split, f"jaccard-level-{level}")
-    edges.append(_bucket_edges(small))
-    if not large.isEmpty():
-        edges.append(_blocks(large))
+    small, large = meet.filter(F.col("n") <= LIMIT), meet.filter(F.col("n") > LIMIT)
+    edges = [_bucket_edges(small.join(sets.select("set_id", "sketch"), "set_id"))]
+    if large.isEmpty():
+        return _all(edges)
+    hot = large.groupBy("set_id").agg(F.count(F.lit(1)).alias("hot"))
+    gained = hot.join(sets.select("set_id", F.size("keys").alias("all")), "set_id").select("set_id", ((F.col("all") - F.col("hot")) * settles(1)).alias("gain"))
+    gained = written(gained.filter(F.col("gain") < NEED), "jaccard-gains")
+    rows = written(large.join(gained.select("set_id"), "set_id").join(sets.select("set_id", "sketch"), "set_id").select("key", "set_id", "sketch"), "jaccard-large")
+    salt, depth = 0, 1
+    todo = rows
+    while not todo.isEmpty():
+        more, gained = _descend(todo, gained, salt, depth)
+        edges += more
+        salt, depth = salt + 1, 2
+        short = gained.filter(F.col("gain") < NEED).select("set_id")
+        todo = written(_split(rows.join(short, "set_id", "left_semi"), salt), "jaccard-split")
     return _all(edges)
 
 
-def _all(frames: list[DataFrame]) -> DataFrame:
+def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for x in frames[1:]:
         out = out.unionByName(x)
-    return out.distinct()
+    return out
+
+
+def _all(frames: list[DataFrame]) -> DataFrame:
+    return _union(frames).distinct()
 
 
 def _blocks(large: DataFrame) -> DataFrame:
@@ -461,9 +512,9 @@ def _with_shingles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     names = wanted.columns
 
     def run(batches):
-        words = _Words()
+        powers = Powers()
         for batch in batches:
-            found = [shingles(t, words) for t in batch["text"].to_pylist()]
+            found = [shingles(t, powers) for t in batch["text"].to_pylist()]
             # A doc_id may stand on rows of other sets too.
             own = pa.array([k for k, (s, i) in enumerate(zip(found, batch["set_id"].to_pylist(), strict=True)) if set_id(s) == i], pa.int64())
             yield pa.RecordBatch.from_arrays([*[batch[c].take(own) for c in names], pa.array([found[k].tobytes() for k in own.to_pylist()], pa.binary())], names=[*names, "shingles"])

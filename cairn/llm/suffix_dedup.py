@@ -42,7 +42,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, load, written
+from .common import POWER_BASE, Powers, bounded_batches, load, written
 
 LENGTH = 50
 GRAM = 16
@@ -51,25 +51,6 @@ FLUSH = 1 << 18
 #: Bytes of contexts of which one suffix array is made.
 SLICE = 1 << 20
 
-_BASE = 0x9E3779B97F4A7C15
-_UNBASE = pow(_BASE, -1, 2**64)
-_MASK = 2**64 - 1
-
-
-class _Powers:
-    """Powers of the base and of its inverse modulo 2^64, grown as needed."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        while len(self.up) < n:
-            size = len(self.up)
-            self.up = np.concatenate((self.up, self.up * np.uint64(pow(_BASE, size, 2**64))))
-            self.down = np.concatenate((self.down, self.down * np.uint64(pow(_UNBASE, size, 2**64))))
-        return self.up[:n], self.down[:n]
-
-
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     size = 1
     while size * 2 <= width:
@@ -84,7 +65,7 @@ def _scrambled(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def contexts_of(raw: bytes, powers: _Powers, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+def contexts_of(raw: bytes, powers: Powers, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """(first window, windows, gram hash, context hash) of each context of a text."""
     n = len(raw)
     if n < length:
@@ -222,7 +203,7 @@ def _undealt(rows: list[dict], *types) -> tuple[np.ndarray, ...]:
 
 
 def _bucket(docs: np.ndarray, n: int) -> np.ndarray:
-    return (_scrambled(docs.view(np.uint64) * np.uint64(_BASE)) % np.uint64(n)).astype(np.uint16)
+    return (_scrambled(docs.view(np.uint64) * np.uint64(POWER_BASE)) % np.uint64(n)).astype(np.uint16)
 
 
 def _copies_covered(keys, inner, docs) -> np.ndarray:
@@ -238,7 +219,7 @@ def _copies_covered(keys, inner, docs) -> np.ndarray:
 
 def _find_contexts(batches, parts: int, buckets: int):
     """Texts -> contexts dealt by gram, and spans that the same task can see are covered."""
-    powers, held, waiting = _Powers(), [], 0
+    powers, held, waiting = Powers(), [], 0
 
     def flush():
         docs, tags, first, windows, keys, inner = (np.concatenate(c) for c in zip(*held, strict=True))

@@ -248,6 +248,43 @@ def test_jaccard_equals_brute_force(spark, monkeypatch, limit):
     assert got == sorted(jaccard_join.brute_force(rows))
 
 
+def test_large_buckets_lose_no_link(spark, monkeypatch):
+    """Families around a common text, loose (similar by half), dense (by 0.85) and close (0.97), in buckets far over the limit."""
+    monkeypatch.setattr(jaccard_join, "LIMIT", 8)
+    rows, r = [], random.Random(3)
+    for name, n, edits in (("loose", 70, 12), ("dense", 60, 2), ("close", 50, 1)):
+        base = prose(name, 160 if name != "close" else 400).split()
+        for c in range(n):
+            copy = list(base)
+            for _ in range(edits if c % 3 else edits // 2):
+                copy[r.randrange(len(copy))] = f"{name}{r.randrange(40)}"
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(1000 + k, f"a b c d {k} " * (1 + k % 2)) for k in range(30)]  # small sets that share most of their shingles
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(jaccard_join.brute_force(rows))
+    assert sum(n for _, _, n in want) > 1000
+    assert sorted(map(tuple, jaccard_join.link_classes(df).collect())) == want
+
+
+def test_jaccard_recall_on_all_documents(spark):
+    """Every link of the documents at sf0.01 is found: recall 1.0 against brute force."""
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    want = sorted(jaccard_join.brute_force(rows))
+    got = sorted(map(tuple, jaccard_join.link_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == want and sum(n for _, _, n in want) > 100
+
+
+@pytest.mark.parametrize("piece", [16, 1 << 22])
+def test_word_hashes_tell_words_apart(monkeypatch, piece):
+    monkeypatch.setattr(jaccard_join, "PIECE", piece)
+    text = (prose(5, 300) + " Écu Ünder AB ab 12 a-b " + "x" * 100 + "  ").encode()
+    words = decontamination.words_of(text)
+    hashes = jaccard_join.word_hashes(text, jaccard_join.Powers()).tolist()
+    assert len(hashes) == len(words)
+    assert len(set(zip(words, hashes, strict=True))) == len(set(words)) == len(set(hashes))
+    assert jaccard_join.word_hashes(b" - ", jaccard_join.Powers()).tolist() == []
+
+
 def test_jaccard_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 4)
     base = prose(55, 150).split()
