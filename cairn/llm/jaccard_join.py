@@ -22,10 +22,11 @@ orders until every set has its recall.
   then compared exactly, so a group's links are complete even where no run put
   the pair in one bucket.
 * Equal sets are one class from the start; copies are never compared.
-* The sets of a large bucket are compared with its first set; those that nearly
-  equal it are united with it and leave all buckets (whatever is near to them is
-  near to it too).  A bucket whose sets are like its first on the whole would not
-  get small by splitting; it is compared in blocks, all pairs of blocks.
+* The sets of a large bucket that a split left nearly whole are compared with its
+  first set.  If they are like it on the whole, no split would make the bucket
+  small: sets that nearly equal the first are united with it and leave all buckets
+  (whatever is near to them is near to it too), the others are compared in blocks,
+  all pairs of blocks.
 * Large candidate groups are verified in blocks too: a task holds two blocks.
 * Shingles and sets are known by 64-bit hashes.
 * Pairs are never emitted.  A task returns, for each set, the number of its links
@@ -56,7 +57,7 @@ from .decontamination import WORD_BYTES, words_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
-RECALL = 0.9999
+RECALL = 0.999
 #: What the misses of independent paths must add up to, as a negative logarithm; and the runs whose expected shared shingles give it.
 NEED = -math.log(1 - RECALL)
 RUNS = math.ceil(NEED)
@@ -70,7 +71,7 @@ BLOCK = 1024
 #: Sketch similarity from which a pair is a candidate, and from which a set leaves with its first set.
 CANDIDATE = THRESHOLD - 5 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / SLOTS)
 ABSORB = 0.94
-#: Mean similarity to its first set from which a large bucket isn't split but compared.
+#: Mean similarity to its first set from which a large bucket isn't split but compared; and the part a split must leave for that to be asked.
 DENSE = 0.9 * THRESHOLD
 #: Levels after which any bucket is compared, not split.
 DEEPEST = 24
@@ -272,35 +273,49 @@ def _bucket_edges(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, EDGES)
 
 
-def _split(rows: DataFrame, salt: int) -> DataFrame:
-    """Buckets split by the shingles of their sets: each set goes on with one, known by its slot and byte."""
+def _split(rows: DataFrame) -> DataFrame:
+    """Buckets split by the shingles of their sets: each set goes on with one, known by its slot and byte.
+
+    ``turn`` tells apart the orders drawn for the same bucket; ``was`` is the size of the bucket before.
+    """
 
     def run(batches):
         slots = mixed(np.arange(1, SLOTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        turn = mixed(np.array([salt + 1], np.uint64))[0]
         for batch in batches:
-            keys = batch["key"].to_numpy(zero_copy_only=False).view(np.uint64)
+            keys = mixed(batch["key"].to_numpy(zero_copy_only=False).view(np.uint64) + mixed(batch["turn"].to_numpy(zero_copy_only=False).astype(np.uint64) + np.uint64(1)))
             values = np.frombuffer(b"".join(batch["sketch"].to_pylist()), np.uint8).reshape(-1, SLOTS)
-            order = mixed(mixed(keys ^ turn)[:, None] + slots) | np.uint64(1)
+            order = mixed(keys[:, None] + slots) >> np.uint64(1)
             order[values == 0] = np.uint64(2**64 - 1)
             least = order.argmin(axis=1)
             token = (least.astype(np.uint64) << np.uint64(8)) | values[np.arange(len(values)), least]
-            fresh = mixed(mixed(keys ^ turn) + (token + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
-            yield pa.RecordBatch.from_arrays([pa.array(fresh.view(np.int64)), batch["set_id"], batch["sketch"]], names=["key", "set_id", "sketch"])
+            fresh = mixed(keys + (token + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
+            yield pa.RecordBatch.from_arrays([pa.array(fresh.view(np.int64)), batch["set_id"], batch["sketch"], batch["n"]], names=["key", "set_id", "sketch", "was"])
 
-    return rows.select("key", "set_id", "sketch").mapInArrow(run, "key long, set_id long, sketch binary")
+    return written(rows.select("key", "set_id", "sketch", "n", "turn").mapInArrow(run, "key long, set_id long, sketch binary, was long"), "jaccard-split")
 
 
 def _against_first(rows: DataFrame) -> DataFrame:
-    """Rows of large buckets beside the first set of their bucket: key, set_id, sketch, first, near."""
+    """Rows beside the first set of their bucket, and whether the bucket is dense: key, set_id, sketch, n, first, near, dense."""
 
     def run(batches):
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, SLOTS) for c in ("sketch", "first_sketch"))
-            yield pa.RecordBatch.from_arrays([batch["key"], batch["set_id"], batch["sketch"], batch["first"], pa.array(similarity(a, b))], names=["key", "set_id", "sketch", "first", "near"])
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in ("key", "set_id", "sketch", "n", "first")], pa.array(similarity(a, b))], names=["key", "set_id", "sketch", "n", "first", "near"])
 
     firsts = rows.groupBy("key").agg(F.min("set_id").alias("first"), F.min_by("sketch", "set_id").alias("first_sketch"))
-    return written(rows.join(firsts, "key").mapInArrow(run, "key long, set_id long, sketch binary, first long, near double"), "jaccard-first")
+    told = written(rows.join(firsts, "key").mapInArrow(run, "key long, set_id long, sketch binary, n long, first long, near double"), "jaccard-first")
+    return written(told.join(told.groupBy("key").agg((F.avg("near") >= DENSE).alias("dense")), "key"), "jaccard-dense")
+
+
+def _dense_edges(dense: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """(edges, sets that a first set stands for) of dense buckets."""
+    other = dense.filter(F.col("set_id") != F.col("first"))
+    # Where sets leave with the first one, what is near to them must be found by it.
+    star = other.filter(F.col("near") >= CANDIDATE - (1 - ABSORB)).select(F.col("first").alias("a"), F.col("set_id").alias("b")).distinct()
+    # A first set that another first set stands for stands for nobody, so likeness doesn't drift along a chain.
+    equal = other.filter(F.col("near") >= ABSORB).select("set_id", "first").distinct()
+    gone = written(equal.join(equal.select(F.col("set_id").alias("first")).distinct(), "first", "left_anti").select("set_id").distinct(), "jaccard-gone")
+    return [star, _blocks(dense.join(gone, "set_id", "left_anti").select("key", "set_id", "sketch"))], gone
 
 
 def _settled(parts: list[DataFrame]) -> DataFrame:
@@ -308,46 +323,36 @@ def _settled(parts: list[DataFrame]) -> DataFrame:
     return _union(parts).groupBy("set_id").agg(F.sum("gain").alias("gain"))
 
 
-def _descend(rows: DataFrame, gained: DataFrame, salt: int, depth: int) -> tuple[list[DataFrame], DataFrame]:
-    """Splits buckets until they are small.  (edges, gains): candidate edges, and set_id, gain of all sets in ``rows``.
+def _descend(rows: DataFrame, gained: DataFrame, depth: int) -> tuple[list[DataFrame], DataFrame, int]:
+    """Splits buckets until they are small.  (edges, gains, depth): candidate edges; set_id, gain of all sets in ``rows``.
 
-    ``gained`` is what the sets have been given before; a set with ``NEED`` leaves.
-    A set that a first set stands for leaves too, with all it needs.
+    ``rows``: key, set_id, sketch, was.  ``gained`` is what the sets have been given
+    before; a set with ``NEED`` leaves, one that a first set stands for too.
     """
-    edges = []
+    edges, gains = [], [gained]
     while True:
         sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
         held = written(rows.join(sizes, "key"), "jaccard-level")
-        small, large = held.filter(F.col("n") <= LIMIT), held.filter(F.col("n") > LIMIT).drop("n")
+        small, large = held.filter(F.col("n") <= LIMIT), held.filter(F.col("n") > LIMIT)
         gain = F.lit(settles(depth)).alias("gain")
-        gains = [gained, small.select("set_id", gain)]
+        gains.append(small.select("set_id", gain))
         edges.append(_bucket_edges(small.filter("n > 1")))
         if large.isEmpty():
-            return edges, written(_settled(gains), "jaccard-gains")
-        told = _against_first(large)
-        # A first set that another first set stands for stands for nobody, so likeness doesn't drift along a chain.
-        equal = told.filter((F.col("near") >= ABSORB) & (F.col("set_id") != F.col("first"))).select("set_id", "first").distinct()
-        gone = equal.join(equal.select(F.col("set_id").alias("first")).distinct(), "first", "left_anti").select("set_id").distinct()
-        state = told.groupBy("key").agg(
-            F.avg("near").alias("mean"), F.min("near").alias("least"), F.max(F.when(F.col("set_id") != F.col("first"), F.col("near"))).alias("most"),
-        )
-        # Where sets leave with the first one, what is near to them must be found by it.
-        state = written(
-            state.select("key", (F.col("least") >= CANDIDATE).alias("one"), ((F.col("mean") >= DENSE) | F.lit(depth >= DEEPEST)).alias("dense"), F.when(F.col("most") >= ABSORB, CANDIDATE - (1 - ABSORB)).otherwise(CANDIDATE).alias("bar")),
-            "jaccard-state",
-        )
-        told = told.join(state, "key")
-        edges.append(told.filter((F.col("near") >= F.col("bar")) & (F.col("set_id") != F.col("first"))).select(F.col("first").alias("a"), F.col("set_id").alias("b")).distinct())
-        left = told.join(gone, "set_id", "left_anti").filter("not one")
-        gains += [told.filter("one").select("set_id", gain), gone.select("set_id", F.lit(NEED).alias("gain"))]
-        if not state.filter("dense and not one").isEmpty():
-            dense = left.filter("dense")
-            edges.append(_blocks(dense.select("key", "set_id", "sketch")))
-            gains.append(dense.select("set_id", gain))
-        gained = written(_settled(gains), "jaccard-gains")
-        still = left.filter("not dense").select("key", "set_id", "sketch")
-        still = still.join(gained.filter(F.col("gain") >= NEED).select("set_id"), "set_id", "left_anti")
-        rows, depth = written(_split(still, salt), "jaccard-split"), depth + 1
+            return edges, written(_settled(gains), "jaccard-gains"), depth
+        deep = F.lit(depth >= DEEPEST)
+        whole = F.coalesce(F.col("n") >= DENSE * F.col("was"), F.lit(False)) | deep
+        stuck = large.filter(whole)
+        still = large.filter(~whole).select("key", "set_id", "sketch", "n")
+        if not stuck.isEmpty():
+            told = _against_first(stuck).withColumn("dense", F.col("dense") | deep)
+            dense = told.filter("dense")
+            if not dense.isEmpty():
+                more, gone = _dense_edges(dense)
+                edges += more
+                gains += [dense.select("set_id", gain), gone.select("set_id", F.lit(NEED).alias("gain"))]
+            still = still.unionByName(told.filter("not dense").select("key", "set_id", "sketch", "n"))
+        done = _settled(gains).filter(F.col("gain") >= NEED).select("set_id")
+        rows, depth = _split(still.join(done, "set_id", "left_anti").withColumn("turn", F.lit(0))), depth + 1
 
 
 def candidate_edges(sets: DataFrame) -> DataFrame:
@@ -363,16 +368,20 @@ def candidate_edges(sets: DataFrame) -> DataFrame:
     hot = large.groupBy("set_id").agg(F.count(F.lit(1)).alias("hot"))
     gained = hot.join(sets.select("set_id", F.size("keys").alias("all")), "set_id").select("set_id", ((F.col("all") - F.col("hot")) * settles(1)).alias("gain"))
     gained = written(gained.filter(F.col("gain") < NEED), "jaccard-gains")
-    rows = written(large.join(gained.select("set_id"), "set_id").join(sets.select("set_id", "sketch"), "set_id").select("key", "set_id", "sketch"), "jaccard-large")
-    salt, depth = 0, 1
-    todo = rows
-    while not todo.isEmpty():
-        more, gained = _descend(todo, gained, salt, depth)
+    rows = written(large.join(gained.select("set_id"), "set_id").join(sets.select("set_id", "sketch"), "set_id").select("key", "set_id", "sketch", "n"), "jaccard-large")
+    more, gained, deepest = _descend(rows.drop("n").withColumn("was", F.lit(None).cast("long")), gained, 1)
+    paths, turn = rows.groupBy("set_id").agg(F.count(F.lit(1)).alias("paths")), 1
+    while True:
         edges += more
-        salt, depth = salt + 1, 2
-        short = gained.filter(F.col("gain") < NEED).select("set_id")
-        todo = written(_split(rows.join(short, "set_id", "left_semi"), salt), "jaccard-split")
-    return _all(edges)
+        # Runs that a set still needs, if its paths end where the longest did.
+        short = paths.join(gained.filter(F.col("gain") < NEED), "set_id")
+        short = short.select("set_id", F.ceil((NEED - F.col("gain")) / (F.col("paths") * settles(deepest))).cast("int").alias("runs"))
+        again = rows.join(short, "set_id").withColumn("turn", F.explode(F.sequence(F.lit(turn), F.lit(turn - 1) + F.col("runs"))))
+        todo = _split(again)
+        if todo.isEmpty():
+            return _all(edges)
+        turn += short.agg(F.max("runs")).first()[0]
+        more, gained, deepest = _descend(todo, gained, 2)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
