@@ -12,7 +12,9 @@ Base kinds: email, ip (parts up to 255), card (16 to 19 digits, Luhn), phone (8
 login (user and password in a URL), secret (a value of 16 or more after a cue such
 as ``token =`` or ``"token":``).  Cues are found in upper, lower and mixed case.
 
-Spans are in code points, end exclusive.  Defined cases: null and empty texts
+Spans are in code points, end exclusive.  Time is linear in the length of a text,
+also for long runs of digits, and numbers of any length are compared as text.
+Defined cases: null and empty texts
 have none; repeated rows are scanned each for itself; an empty table gives an
 empty result; only doc_id and text are read, so extra columns can't clash.
 """
@@ -36,7 +38,8 @@ KINDS = BASE + ADDED
 _DIGITS = "0123456789"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+#: Digit groups joined by single dots; it never fails once begun, so runs of digits are read once.
+_GROUPS = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _IP_RUN = re.compile(r"[0-9.]*")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _CARD_RUN = re.compile(r"[0-9\x20-]*")
@@ -87,8 +90,30 @@ def _n_digits(s: str) -> int:
     return sum(map(s.count, _DIGITS))
 
 
-def _ip_ok(s: str) -> bool:
-    return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in s.split("."))
+def _below_256(part: str) -> bool:
+    """Compared as text: a group may have more digits than a number is made of."""
+    part = part.lstrip("0")
+    return len(part) < 3 or len(part) == 3 and part <= "255"
+
+
+def _ips(text: str, begin: int, end: int):
+    """Spans of four groups each, from the left of every chain of groups, whose groups are at most 255."""
+    for chain in _GROUPS.finditer(text, begin, end):
+        parts, at = chain[0].split("."), chain.start()
+        for k in range(0, len(parts) - 3, 4):
+            four = parts[k : k + 4]
+            size = sum(map(len, four)) + 3
+            if all(map(_below_256, four)):
+                yield at, at + size
+            at += size + 1
+
+
+def _cards(text: str, begin: int, end: int):
+    return (m.span() for m in _CARD.finditer(text, begin, end) if _card_ok(m[0]))
+
+
+def _phones(text: str, begin: int, end: int):
+    return (m.span() for m in _PHONE.finditer(text, begin, end) if _phone_ok(m[0]))
 
 
 def _card_ok(s: str) -> bool:
@@ -105,11 +130,11 @@ def _iban_ok(s: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
-#: Kind -> characters of its stretches, stretch, pattern and check.
+#: Kind -> characters of its stretches, stretch and parser.
 _RUNS = {
-    "ip": (frozenset(_DIGITS + "."), _IP_RUN, _IP, _ip_ok),
-    "card": (frozenset(_DIGITS + " -"), _CARD_RUN, _CARD, _card_ok),
-    "phone": (frozenset(_DIGITS + "+ ().-"), _PHONE_RUN, _PHONE, _phone_ok),
+    "ip": (frozenset(_DIGITS + "."), _IP_RUN, _ips),
+    "card": (frozenset(_DIGITS + " -"), _CARD_RUN, _cards),
+    "phone": (frozenset(_DIGITS + "+ ().-"), _PHONE_RUN, _phones),
 }
 
 
@@ -132,12 +157,12 @@ def find(text: str | None, automaton) -> dict[str, list[tuple[int, int]]]:
                 out[kind].append((begin, m.end()))
                 done[kind] = m.end()
         elif kind in _RUNS:
-            chars, stretch, pattern, good = _RUNS[kind]
+            chars, stretch, parse = _RUNS[kind]
             begin = start
             while begin > done[kind] and text[begin - 1] in chars:
                 begin -= 1
             end = stretch.match(text, start).end()
-            out[kind] += [m.span() for m in pattern.finditer(text, begin, end) if good(m[0])]
+            out[kind] += parse(text, begin, end)
             done[kind] = end
         elif kind == "login":
             if m := _LOGIN.match(text, stop):
@@ -209,7 +234,7 @@ def brute_force(text: str | None) -> str:
     text = text or ""
     patterns = {
         "email": (re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), lambda s: True),
-        "ip": (re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), lambda s: all(int(p) <= 255 for p in s.split("."))),
+        "ip": (re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), lambda s: all(int(p[-4300:]) <= 255 and not p[:-4300].strip("0") for p in s.split("."))),
         "card": (re.compile(r"[0-9]([\x20-]?[0-9])+"), lambda s: 16 <= _n_digits(s) <= 19 and luhn(re.sub("[ -]", "", s))),
         "phone": (re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"), lambda s: 8 <= _n_digits(s) <= 15),
     }

@@ -1,5 +1,7 @@
 """Cases of the operators that once were left out."""
 
+import time
+
 import pytest
 from cairn.llm import decontamination, jaccard_join, pii, token_counts
 
@@ -23,6 +25,22 @@ def test_upper_case_text():
     assert pii.find(f"toKen = {VALUE}", pii._automaton())["secret"] == []
 
 
+LONG = ["1.2.3." + "0" * 5000, "1.2.3." + "0" * 5000 + "255", "0" * 5000 + "1.2.3.4.5.6.7.8.9", "1.2.3." + "9" * 5000, "1.2.3.256.1.2.3.4", "1..2.3.4.5", "a1.2.3.4.", ".1.2.3.4.5.6.7.8", "1.1" + "1" * 6000 + ".2.3", "+1" + " " * 4000 + "2", "4111 1111 1111 1111" + " " * 3000 + "1"]
+
+
+@pytest.mark.parametrize("text", LONG)
+def test_long_numbers(text):
+    found = pii.find(text, pii._automaton())
+    assert pii.listed(found, pii.BASE) == pii.brute_force(text)
+
+
+@pytest.mark.parametrize("text", ["1.1" + "1" * 1_000_000, "1" * 1_000_000, "1." * 500_000, "+1 " * 300_000, "a@" * 500_000, "1 " * 500_000, "@" + "b" * 1_000_000, "token " * 150_000])
+def test_time_is_linear(text):
+    a, began = pii._automaton(), time.process_time()
+    pii.find(text, a)
+    assert time.process_time() - began < 15
+
+
 def test_decontamination_does_not_depend_on_blocks(spark):
     """Documents hit by two items, each item a block of its own, in either order."""
     w = lambda c, n: " ".join(f"{c}{k}" for k in range(n))
