@@ -498,6 +498,39 @@ def test_language_mixture(spark, docs):
     assert set(got[1]) == {"en", "fr"} and min(got[1].values()) > 0.3 and set(got[2]) == {"de"}
 
 
+def test_language_equals_brute_force(spark, docs):
+    """Selected sets and shares of all documents, some of them mixed, against plain expectation-maximisation."""
+    counts = {}
+    for r in docs.filter(~language_id.held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).collect():
+        of = counts.setdefault(r.lang, {})
+        for g in language_id.trigrams(r.text).tolist():
+            of[g] = of.get(g, 0) + 1
+    texts = [r.text for r in docs.collect()]
+    rows = [*enumerate(texts), *[(1000 + k, (texts[k] or "")[:900] + " " + (texts[-k - 1] or "")[:900]) for k in range(40)]]
+    got = {r.doc_id: r for r in language_id.predict(spark.createDataFrame(rows, "doc_id long, text string"), language_id.fit(docs)).collect()}
+    several = 0
+    for k, text in rows:
+        want = language_id.brute_force(text, counts)
+        shares = {x.lang: x.share for x in got[k].languages}
+        assert set(shares) == set(want) and all(abs(shares[x] - want[x]) < 1e-3 for x in want), k
+        assert got[k].lang_pred == (min(want, key=lambda x: (-round(want[x], 6), x)) if want else "und")
+        several += len(want) > 1
+    assert several >= 10
+
+
+def test_many_languages(spark, monkeypatch):
+    """129 languages are learned, in two blocks; a text in two of them, of different blocks, is told apart."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda k, n: "".join(random.Random(k * 1000 + n).choice(letters) for _ in range(6))
+    text = lambda k: " ".join(word(k, n % 40) for n in range(200))
+    rows = [(k, text(k), f"l{k:03}") for k in range(129)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert [len(names) for names, _ in model] == [128, 1]
+    docs = spark.createDataFrame([*[(k, text(k)) for k in range(0, 129, 8)], (500, text(3) + " " + text(128)), (501, None)], "doc_id long, text string")
+    got = {r.doc_id: {x.lang for x in r.languages} for r in language_id.predict(docs, model).collect()}
+    assert got == {**{k: {f"l{k:03}"} for k in range(0, 129, 8)}, 500: {"l003", "l128"}, 501: set()}
+
+
 def test_language_edges(spark, edges, empty, docs):
     model = language_id.fit(docs)
     got = {r.doc_id: r.lang_pred for r in language_id.predict(odd(edges), model).collect()}
