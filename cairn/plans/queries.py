@@ -13,12 +13,11 @@ from cairn.functions import constants as K
 from cairn.functions import ids, validators
 from cairn.operators import availability as av
 from cairn.operators import chunking, dedup, lifecycle, liveness, validate, writes
-from cairn.sources.catalog import CHUNK_SIZE, EPOCH, REPLICAS, Catalog, table, uuid_of
+from cairn.sources.catalog import CDC, CHUNK_SIZE, EPOCH, REPLICAS, Catalog, table, uuid_of
 from cairn.sources.lookups import get
 
 EVALUATED_S = EPOCH + 45 * 86400
 TARGET = "node-0"
-CDC = (256, 1024, 4096)
 #: kind, keep_last_n, max_age_seconds of the policy the queries evaluate.
 POLICY = [("generic", 1, None), ("model-checkpoint", 2, 86400 * 40), ("dataset-snapshot", 0, 86400 * 44), ("embedding-index", 5, None), ("evaluation-output", 0, 0)]
 REGISTRY: dict = {}
@@ -33,7 +32,7 @@ def on_catalog(f):
     """Registers a query that is a function of the catalog."""
 
     def run(spark, sf_dir):
-        return f(Catalog(spark, sf_dir))
+        return f(Catalog.of(spark, sf_dir))
 
     run.__name__, run.__doc__ = f.__name__, f.__doc__
     REGISTRY[f.__name__] = run
@@ -53,6 +52,7 @@ def rules(spark):
 
 @query
 def chunk_dedup_by_source(spark, sf_dir):
+    """Chunks and bytes of each source, in all and distinct."""
     docs = table(spark, sf_dir, "documents").select("source", ids.as_bytes(F.col("text")).alias("content"))
     chunks = docs.select("source", F.explode(chunking.fixed_chunks(F.col("content"), CHUNK_SIZE)).alias("c")).select("source", "c.*")
     return longs(dedup.dedup_stats(chunks, "source"), "chunks", "unique_chunks", "bytes", "unique_bytes")
@@ -66,9 +66,8 @@ def shared_chunks(c):
 @on_catalog
 def dedup_shift_reuse(c):
     """Fixed-size chunks of every text against those of the same text after a prefix of 100 bytes."""
-    shifted = c.docs.select(F.concat(F.lit(b"x" * 100), F.col("content")).alias("content"))
-    flat = lambda d: d.select(F.explode(chunking.fixed_chunks(F.col("content"), CHUNK_SIZE)).alias("c")).select("c.*")
-    return longs(dedup.reuse_stats(flat(c.docs), flat(shifted)), "base_chunks", "other_chunks", "shared_chunks", "reused_bytes")
+    shifted = c.texts.select(chunking.fixed_chunks(F.concat(F.lit(b"x" * 100), F.col("content")), CHUNK_SIZE).alias("chunks"))
+    return longs(dedup.reuse_stats(chunking.exploded(c.docs), chunking.exploded(shifted)), "base_chunks", "other_chunks", "shared_chunks", "reused_bytes")
 
 
 @on_catalog
@@ -94,15 +93,15 @@ def manifest_id(c):
 @on_catalog
 def fastcdc_chunks(c):
     """Content-defined chunks of every object."""
-    return chunking.exploded(chunking.cdc_layouts(c.contents, *CDC), "object_id")
+    return chunking.exploded(c.cdc, "object_id")
 
 
 @on_catalog
 def fastcdc_dedup(c):
     """Content-defined chunks of texts against those of shifted texts."""
-    shifted = c.contents.select("object_id", F.concat(F.lit(b"x" * 100), F.col("content")).alias("content"))
-    flat = lambda d: chunking.exploded(chunking.cdc_layouts(d, *CDC), "object_id")
-    return longs(dedup.reuse_stats(flat(c.contents), flat(shifted)), "base_chunks", "other_chunks", "shared_chunks", "reused_bytes")
+    shifted = c.texts.select("object_id", F.concat(F.lit(b"x" * 100), F.col("content")).alias("content"))
+    moved = chunking.cdc_layouts(shifted, *CDC).dropDuplicates(["object_id"])
+    return longs(dedup.reuse_stats(chunking.exploded(c.cdc, "object_id"), chunking.exploded(moved, "object_id")), "base_chunks", "other_chunks", "shared_chunks", "reused_bytes")
 
 
 @on_catalog
@@ -168,7 +167,7 @@ def replication_stats(c):
 
 @on_catalog
 def artifact_health(c):
-    first = c.layout_chunks.join(c.layouts.filter(F.col("chunk_size") == CHUNK_SIZE).select("layout_id"), "layout_id", "left_semi").select("object_id", "chunk_id")
+    first = c.first_layout_chunks.select("object_id", "chunk_id")
     per = c.versions.select("version_id", "root_object_id").join(first.withColumnRenamed("object_id", "root_object_id"), "root_object_id", "left")
     return av.artifact_health(per.select(F.col("version_id").alias("artifact_id"), "chunk_id"), c.locations, c.nodes, REPLICAS)
 
@@ -202,8 +201,7 @@ def restore_plan(c):
 @on_catalog
 def restore_prefix(c):
     """Partial files in which every chunk whose id begins with f is damaged."""
-    checked = c.layout_chunks.join(c.layouts.filter(F.col("chunk_size") == CHUNK_SIZE).select("layout_id"), "layout_id", "left_semi")
-    checked = checked.select("object_id", "chunk_index", "chunk_size_bytes", (F.substring("chunk_id", 1, 1) != "f").alias("ok"))
+    checked = c.first_layout_chunks.select("object_id", "chunk_index", "chunk_size_bytes", (F.substring("chunk_id", 1, 1) != "f").alias("ok"))
     return longs(dedup.restore_prefix(checked), "kept_chunks", "kept_bytes")
 
 
@@ -226,10 +224,8 @@ def cluster_state(c):
 
 def pushed(c):
     """Chunks of a push of every document, one session each."""
-    docs = c.docs.select(uuid_of(F.concat(F.lit("p"), "doc_id")).alias("session_id"), "object_id")
-    layouts = c.layouts.filter(F.col("chunk_size") == CHUNK_SIZE).select("layout_id")
-    chunks = c.layout_chunks.join(layouts, "layout_id", "left_semi").select("object_id", "chunk_index", "chunk_id", "chunk_size_bytes")
-    return docs.join(chunks, "object_id").select("session_id", "chunk_index", "chunk_id", "chunk_size_bytes")
+    docs = c.docs.select(uuid_of(F.concat(F.lit("p"), "doc_id")).alias("session_id"), "chunks")
+    return chunking.exploded(docs, "session_id").select("session_id", "chunk_index", "chunk_id", "chunk_size_bytes")
 
 
 def thin_inventory(c):

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from cairn.functions import constants as K
 from cairn.functions import ids
 from cairn.operators import chunking
+from cairn.sources.shared import written
 
 CHUNK_SIZE, SECOND_CHUNK_SIZE = 1024, 2048
+CDC = (256, 1024, 4096)
 REPLICAS = 2
 EPOCH = 1704067200  # 2024-01-01T00:00:00Z
 KIND_BY_LANG = {"en": "model-checkpoint", "fr": "dataset-snapshot", "de": "embedding-index"}
@@ -32,23 +34,49 @@ def uuid_of(name: Column) -> Column:
     return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-7"), part(14, 3), F.lit("-8"), part(18, 3), F.lit("-"), part(21, 12))
 
 
+_open: dict[tuple, "Catalog"] = {}
+
+
 class Catalog:
+    """Bytes are chunked and hashed where the texts are read, once; what is derived from them is kept as tables in the shared folder."""
+
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
 
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str) -> "Catalog":
+        """The catalog of the files as they are; made once in an application."""
+        files = hash(tuple(sorted(f for t in ("documents", "events", "labels", "benchmark", "region") for f in table(spark, sf_dir, t).inputFiles())))
+        key = (spark.sparkContext.applicationId, sf_dir, files)
+        if key not in _open:
+            _open[key] = cls(spark, sf_dir)
+        return _open[key]
+
     def raw(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
 
+    @property
+    def texts(self) -> DataFrame:
+        """object_id and content of each text."""
+        content = ids.as_bytes(F.col("text"))
+        return self.raw("documents").filter("text is not null").select(ids.sha256(content).alias("object_id"), content.alias("content"))
+
     @cached_property
     def docs(self) -> DataFrame:
-        """doc_id, lang, source, object_id, bytes and content of each text."""
-        content = ids.as_bytes(F.col("text"))
-        return self.raw("documents").filter("text is not null").select("doc_id", "lang", "source", content.alias("content"), ids.sha256(content).alias("object_id"), F.octet_length("text").cast("long").alias("bytes"))
+        """doc_id, lang, source, object_id, bytes and fixed-size chunks of each text; the bytes go no further."""
+        content, size = ids.as_bytes(F.col("text")), F.octet_length("text").cast("long")
+        known = self.raw("documents").filter("text is not null").select("doc_id", "lang", "source", content.alias("content"), ids.sha256(content).alias("object_id"), size.alias("bytes"))
+        second = (F.substring("object_id", 1, 1) < "4") & (F.col("bytes") > CHUNK_SIZE)
+        chunked = known.select(
+            "doc_id", "lang", "source", "object_id", "bytes", chunking.fixed_chunks(F.col("content"), CHUNK_SIZE).alias("chunks"),
+            F.when(second, chunking.fixed_chunks(F.col("content"), SECOND_CHUNK_SIZE)).alias("second"),
+        )
+        return written(chunked, "catalog-docs")
 
     @cached_property
-    def contents(self) -> DataFrame:
-        """Distinct objects with their bytes."""
-        return self.docs.groupBy("object_id").agg(F.first("content").alias("content"), F.first("bytes").alias("total_size_bytes"))
+    def cdc(self) -> DataFrame:
+        """object_id and content-defined chunks of each object."""
+        return written(chunking.cdc_layouts(self.texts, *CDC).dropDuplicates(["object_id"]), "catalog-cdc")
 
     @cached_property
     def objects(self) -> DataFrame:
@@ -57,19 +85,24 @@ class Catalog:
     @cached_property
     def layouts(self) -> DataFrame:
         """Layouts with their chunks: layout_id, object_id, chunk_size, total_size_bytes, chunk_count, chunks."""
-        sizes = F.when((F.substring("object_id", 1, 1) < "4") & (F.col("total_size_bytes") > CHUNK_SIZE), F.array(F.lit(CHUNK_SIZE), F.lit(SECOND_CHUNK_SIZE))).otherwise(F.array(F.lit(CHUNK_SIZE)))
-        one = self.contents.withColumn("chunk_size", F.explode(sizes))
-        chunks = F.when(F.col("chunk_size") == CHUNK_SIZE, chunking.fixed_chunks(F.col("content"), CHUNK_SIZE)).otherwise(chunking.fixed_chunks(F.col("content"), SECOND_CHUNK_SIZE))
-        laid = one.select("object_id", "chunk_size", "total_size_bytes", chunks.alias("chunks"))
-        return laid.select(ids.layout_id(F.col("object_id"), F.col("total_size_bytes"), F.col("chunks")).alias("layout_id"), "object_id", "chunk_size", "total_size_bytes", F.size("chunks").cast("long").alias("chunk_count"), "chunks")
+        one = self.docs.dropDuplicates(["object_id"])
+        laid = F.array(F.struct(F.lit(CHUNK_SIZE).alias("chunk_size"), "chunks"), F.struct(F.lit(SECOND_CHUNK_SIZE).alias("chunk_size"), F.col("second").alias("chunks")))
+        laid = one.select("object_id", F.col("bytes").alias("total_size_bytes"), F.explode(laid).alias("_l")).select("object_id", "total_size_bytes", "_l.*").filter("chunks is not null")
+        named = laid.select(ids.layout_id(F.col("object_id"), F.col("total_size_bytes"), F.col("chunks")).alias("layout_id"), "object_id", "chunk_size", "total_size_bytes", F.size("chunks").cast("long").alias("chunk_count"), "chunks")
+        return written(named, "catalog-layouts")
 
     @cached_property
     def layout_chunks(self) -> DataFrame:
-        return chunking.exploded(self.layouts, "layout_id", "object_id")
+        return written(chunking.exploded(self.layouts, "layout_id", "object_id"), "catalog-layout-chunks")
+
+    @cached_property
+    def first_layout_chunks(self) -> DataFrame:
+        """Chunks of the layout that every object has."""
+        return chunking.exploded(self.layouts.filter(F.col("chunk_size") == CHUNK_SIZE), "layout_id", "object_id")
 
     @cached_property
     def chunks(self) -> DataFrame:
-        return self.layout_chunks.select("chunk_id", F.col("chunk_size_bytes").alias("size_bytes")).distinct()
+        return written(self.layout_chunks.select("chunk_id", F.col("chunk_size_bytes").alias("size_bytes")).distinct(), "catalog-chunks")
 
     @cached_property
     def nodes(self) -> DataFrame:
@@ -85,18 +118,23 @@ class Catalog:
     @cached_property
     def desired(self) -> DataFrame:
         """chunk_id, size_bytes and a node on which the chunk belongs, RF rows per chunk."""
-        return self.chunks.join(F.broadcast(self.node_ids)).select("chunk_id", "size_bytes", F.explode(ids.replica_nodes(F.col("chunk_id"), F.col("node_ids"), REPLICAS)).alias("node_id"))
+        return written(self.chunks.join(F.broadcast(self.node_ids)).select("chunk_id", "size_bytes", F.explode(ids.replica_nodes(F.col("chunk_id"), F.col("node_ids"), REPLICAS)).alias("node_id")), "catalog-desired")
 
     @cached_property
-    def locations(self) -> DataFrame:
+    def placed(self) -> DataFrame:
+        """``desired`` with the state of the location there."""
         digit = F.substring(F.sha2(F.concat("chunk_id", "node_id"), 256), 1, 1)
         state = F.when(digit == "0", "missing").when(digit == "1", "corrupt").otherwise("available")
-        return self.desired.select("chunk_id", "node_id", ids.storage_path(F.col("chunk_id")).alias("storage_path"), state.alias("state"))
+        return self.desired.withColumn("state", state)
+
+    @cached_property
+    def locations(self) -> DataFrame:
+        return self.placed.select("chunk_id", "node_id", ids.storage_path(F.col("chunk_id")).alias("storage_path"), "state")
 
     @cached_property
     def inventory(self) -> DataFrame:
         """What nodes physically hold: node_id, chunk_id, size_bytes.  One stray chunk a node is unknown to the catalog."""
-        held = self.locations.filter("state <> 'missing'").join(self.chunks, "chunk_id").select("node_id", "chunk_id", "size_bytes")
+        held = self.placed.filter("state <> 'missing'").select("node_id", "chunk_id", "size_bytes")
         return held.unionByName(self.nodes.select("node_id", F.sha2(F.concat(F.lit("stray"), "node_id"), 256).alias("chunk_id"), F.lit(512).cast("long").alias("size_bytes")))
 
     @cached_property
@@ -108,7 +146,7 @@ class Catalog:
         entries = F.array(F.struct(F.lit(K.KIND_KEY).alias("key"), F.col("kind").alias("value")), F.struct(F.lit("lang").alias("key"), F.coalesce("lang", F.lit("")).alias("value")))
         known = self.docs.select("doc_id", "object_id", "bytes", "source", "lang", uuid_of(F.coalesce("source", F.lit(""))).alias("artifact_id"), kind.alias("kind"))
         known = known.withColumn("metadata", F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull())))
-        return known.withColumn("version_id", ids.version_id(F.col("artifact_id"), F.col("object_id"), F.lit(None).cast("string"), F.col("metadata")))
+        return written(known.withColumn("version_id", ids.version_id(F.col("artifact_id"), F.col("object_id"), F.lit(None).cast("string"), F.col("metadata"))), "catalog-version-docs")
 
     @cached_property
     def versions(self) -> DataFrame:

@@ -25,10 +25,9 @@ def test_all_but_the_chunker_have_sql():
 
 def test_content_defined_chunks_match_the_byte_rule(spark, small):
     from cairn.operators.chunking import cdc_reference
-    from cairn.plans.queries import CDC
-    from cairn.sources.catalog import Catalog
+    from cairn.sources.catalog import CDC, Catalog
 
-    contents = {r.object_id: bytes(r.content) for r in Catalog(spark, small).contents.collect()}
+    contents = {r.object_id: bytes(r.content) for r in Catalog(spark, small).texts.collect()}
     sizes = {}
     for r in REGISTRY["fastcdc_chunks"](spark, small).orderBy("object_id", "chunk_index").collect():
         sizes.setdefault(r.object_id, []).append(r.chunk_size_bytes)
