@@ -1,24 +1,21 @@
 """Helpers that several training-data operators share.
 
-Shared folder: intermediate tables go to the folder named by
-``spark.checkpoint.dir``; only where that is unset (tests) is a temporary one
-made.  Python functions of this package are pickled by value, so executors need
-no copy of the repository on their path.
+Intermediate tables go to the shared folder (``cairn.sources.shared``).  Python
+functions of this package are pickled by value, so executors need no copy of the
+repository on their path.
 """
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import sys
-import tempfile
-import uuid
 
 import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.sources.shared import written  # noqa: F401  for the operators
+
 cloudpickle.register_pickle_by_value(sys.modules[__package__])
 
 #: Word separators of the white-space word rule, as a Java/RE2/Python class.
@@ -36,31 +33,6 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, for checkpoints and tables."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        held = spark.sparkContext.getCheckpointDir()
-        where = held or tempfile.mkdtemp(prefix="cairn-checkpoint-")
-        if not held:
-            atexit.register(shutil.rmtree, where, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", where)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(where)
-    return where
-
-
-def written(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
-    """``df`` written to the shared folder as Parquet and read back.
-
-    Cuts the lineage: a lost executor costs no recomputation of ``df``.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

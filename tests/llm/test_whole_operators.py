@@ -70,6 +70,35 @@ def test_decontamination_does_not_depend_on_blocks(spark):
     assert decontamination.decontaminate(df, none, block_words=10).count() == len(docs)
 
 
+def test_items_longer_than_a_block(spark):
+    """Pieces of a long item hold each of its windows once."""
+    words = [f"w{k}" for k in range(95)]
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, "just a few"), (3, " ".join(words[50:62]))], "item_id long, text string").coalesce(1)
+    rows = [(k, "x y z " + " ".join(words[k : k + 10]) + " q") for k in range(86)] + [(200, "here are just a few words"), (201, " ".join(words)), (202, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {}
+    for size in (12, 20, 1000):
+        found = decontamination.scan(docs, bench, block_words=size)
+        got[size] = sorted((r.doc_id, r.n_words, [tuple(s) for s in r.spans], r.item_ids) for r in found.collect())
+    assert got[12] == got[20] == got[1000] and sum(bool(r[2]) for r in got[12]) == 88
+
+
+def test_automaton_size():
+    """What is broadcast takes about 41 bytes a word, and 340 in a worker, whose many words occur once."""
+    import pickle
+    import random
+    import tracemalloc
+
+    r = random.Random(1)
+    words = [f"v{int(r.paretovariate(0.7))}".encode() for _ in range(60_000)]
+    state = pickle.dumps(vars(decontamination.Automaton([(str(k), words[k : k + 300]) for k in range(0, len(words), 300)], 10)))
+    tracemalloc.start()
+    held = pickle.loads(state)
+    size = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held and len(state) < 60 * len(words) and size < 450 * len(words)
+
+
 def test_one_row_for_each_class_where_doc_ids_repeat(spark):
     w = lambda c: " ".join(f"{c}{k}" for k in range(60))
     rows = [
