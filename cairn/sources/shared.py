@@ -14,6 +14,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -33,13 +34,19 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read back.
 
-    Cuts the lineage: a lost executor costs no recomputation of ``df``.  The table
-    is removed when the process that made it ends.
+    Cuts the lineage: a lost executor costs no recomputation of ``df``.  Shuffle
+    files of the write go when it is done; the table is removed when the process
+    that made it ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     _made.append((spark, path))
-    df.write.partitionBy(*partition_by).parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.partitionBy(*partition_by).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
