@@ -21,7 +21,14 @@ Three passes, none of which holds more than a part of the corpus in a task:
    interval of equal windows, and its smallest doc_id covers the others.
 3. Covered spans and texts meet by document, and the spans are cut.
 
-Passes 1 and 2 end in tables in the shared folder.
+Passes 1 and 2 end in tables in the shared folder.  There are as many parts as hold
+``PART_BYTES`` of text each.  A gram that a sample of the documents shows to be hot
+doesn't stand alone as a key: 17 bytes beside it are added, on the side where every
+window has them, so its contexts spread over parts and equal windows still meet.
+
+Contexts are told apart by a key of 32 bits within a part and a hash of 64 bits of
+other bytes; among 10^13 contexts (170 TB of text) two different ones are taken
+for equal with a chance under 0.001.  What the transform compares is bytes.
 
 Defined cases: null and empty texts have no bytes; a null doc_id is neither
 smaller nor larger than any other, so such a row keeps all and removes nothing;
@@ -32,9 +39,7 @@ are compared as bytes, so a cut can fall inside a character.
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +53,12 @@ LENGTH = 50
 GRAM = 16
 #: Anchors gathered before they are dealt to parts.
 FLUSH = 1 << 18
+#: Bytes of text for a part and for a bucket of documents; passes deal about twice as much.
+PART_BYTES = 32 << 20
+#: One in so many documents tells which grams are hot.  That moves contexts between parts and changes no result.
+PROBE = 64
+#: Bytes beside a hot gram that are added to its key.
+BESIDE = (LENGTH - GRAM) // 2
 #: Bytes of contexts of which one suffix array is made.
 SLICE = 1 << 20
 
@@ -65,8 +76,13 @@ def _scrambled(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def contexts_of(raw: bytes, powers: Powers, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(first window, windows, gram hash, context hash) of each context of a text."""
+def contexts_of(raw: bytes, powers: Powers, length: int = LENGTH, gram: int = GRAM, hot: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(first window, windows, key, context hash) of each context of a text.
+
+    The key is the hash of the gram.  A context of a ``hot`` gram is cut in two:
+    windows with more than ``BESIDE`` bytes before the gram, whose key takes those
+    next to it in, and the others, which have as many behind it.
+    """
     n = len(raw)
     if n < length:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64))
@@ -82,10 +98,24 @@ def contexts_of(raw: bytes, powers: Powers, length: int = LENGTH, gram: int = GR
     at = (low - (_sliding_min(code, length - gram + 1) & low)).astype(np.int64)
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     windows = np.diff(np.concatenate((first, [len(at)])))
+    place = at[first]
+    keys = _scrambled(h[place])
+    if hot is not None and len(hot) and (is_hot := np.isin(keys, hot)).any():
+        beside = (length - gram) // 2
+        before = np.where(is_hot, np.clip(place - first - beside, 0, windows), 0)
+        after = windows - before
+        lead, tail = np.flatnonzero(is_hot & (before > 0)), np.flatnonzero(after > 0)
+        side = np.zeros(len(tail), np.uint64)
+        cut = is_hot[tail]
+        right = place[tail][cut] + gram
+        side[cut] = (sums[right + beside] - sums[right]) * down[right]
+        left = place[lead] - beside
+        keys = np.concatenate((_scrambled(keys[lead] + (sums[place[lead]] - sums[left]) * down[left]), np.where(cut, _scrambled(keys[tail] ^ side), keys[tail])))
+        first, windows, place = np.concatenate((first[lead], (first + before)[tail])), np.concatenate((before[lead], after[tail])), np.concatenate((place[lead], place[tail]))
     stop = first + windows - 1 + length
     inside = (sums[stop] - sums[first]) * down[first]
-    offset = (at[first] - first).astype(np.uint64)
-    return first, windows, _scrambled(h[at[first]]), _scrambled(inside + offset * np.uint64(0xA0761D6478BD642F) + windows.astype(np.uint64))
+    offset = (place - first).astype(np.uint64)
+    return first, windows, keys, _scrambled(inside + offset * np.uint64(0xA0761D6478BD642F) + windows.astype(np.uint64))
 
 
 def interval_classes(text: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -203,7 +233,7 @@ def _undealt(rows: list[dict], *types) -> tuple[np.ndarray, ...]:
 
 
 def _bucket(docs: np.ndarray, n: int) -> np.ndarray:
-    return (_scrambled(docs.view(np.uint64) * np.uint64(POWER_BASE)) % np.uint64(n)).astype(np.uint16)
+    return (_scrambled(docs.view(np.uint64) * np.uint64(POWER_BASE)) % np.uint64(n)).astype(np.int32)
 
 
 def _copies_covered(keys, inner, docs) -> np.ndarray:
@@ -217,27 +247,45 @@ def _copies_covered(keys, inner, docs) -> np.ndarray:
     return out
 
 
-def _find_contexts(batches, parts: int, buckets: int):
+def hot_grams(texts: DataFrame, parts: int) -> np.ndarray:
+    """Keys of grams that would fill a good share of a part, by a sample of the documents; at most 4 for each part."""
+
+    def count(batches):
+        powers = Powers()
+        for batch in batches:
+            keys = [contexts_of(raw, powers)[2] for raw in batch["text"].to_pylist()]
+            found, n = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.uint64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n, pa.int64())], names=["key", "n"])
+
+    some = texts.filter(F.pmod(F.xxhash64("doc_id", F.lit("probe")), F.lit(PROBE)) == 0).mapInArrow(count, "key long, n long")
+    per = written(some.groupBy("key").agg(F.sum("n").alias("n")), "suffix-probe")
+    every = per.agg(F.sum("n")).first()[0] or 0
+    rows = per.filter(F.col("n") >= max(512, every // (4 * parts))).select("key").collect()
+    return np.array(sorted(r["key"] for r in rows), np.int64).view(np.uint64)
+
+
+def _find_contexts(batches, parts: int, buckets: int, hot: np.ndarray):
     """Texts -> contexts dealt by gram, and spans that the same task can see are covered."""
     powers, held, waiting = Powers(), [], 0
+    flush_at = min(8 * FLUSH, max(FLUSH, 32 * parts))  # many parts get blobs of some contexts still
 
     def flush():
         docs, tags, first, windows, keys, inner = (np.concatenate(c) for c in zip(*held, strict=True))
         held.clear()
         copy = _copies_covered(keys, inner, docs)
         stay = ~copy
-        target = ((keys >> np.uint64(32)) % np.uint64(parts)).astype(np.uint16)
+        target = ((keys >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
         rows = _dealt(0, target[stay], docs[stay], tags[stay], keys[stay].astype(np.uint32), inner[stay], first[stay].astype(np.uint32), windows[stay].astype(np.uint8))
         return _batch(rows + _dealt(1, _bucket(docs[copy], buckets), docs[copy], tags[copy], first[copy], (first + windows - 1 + LENGTH)[copy]))
 
     for batch in batches:
         for doc, tag, raw in zip(batch["doc_id"].to_pylist(), batch["tag"].to_pylist(), batch["text"].to_pylist(), strict=True):
-            found = contexts_of(raw, powers)
+            found = contexts_of(raw, powers, hot=hot)
             n = len(found[0])
             if n:
                 held.append((np.full(n, doc, np.int64), np.full(n, tag, np.int64), *found))
                 waiting += n
-            if waiting >= FLUSH:
+            if waiting >= flush_at:
                 yield flush()
                 waiting = 0
     if held:
@@ -361,10 +409,10 @@ def _fetch(batches, parts: int):
         docs, tags, keys, place, raw = zip(*held, strict=True)
         held.clear()
         keys = np.array(keys, np.uint64)
-        target = (_scrambled(keys) % np.uint64(parts)).astype(np.uint16)
+        target = (_scrambled(keys) % np.uint64(parts)).astype(np.int32)
         order = np.argsort(target, kind="stable")
         rows = _dealt(3, target, np.array(docs, np.int64), np.array(tags, np.int64), np.array(place, np.uint64), keys.astype(np.uint32))
-        cuts = np.flatnonzero(np.diff(target[order].astype(np.int32), prepend=-1, append=-1))
+        cuts = np.flatnonzero(np.diff(target[order], prepend=-1, append=-1))
         each = [b"".join(raw[k] for k in order[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
         return _batch([(*row[:7], data, None) for row, data in zip(rows, each, strict=True)])
 
@@ -415,28 +463,19 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
 
 
-def _release(spark) -> None:
-    """Lets Spark drop the shuffle files of the passes that are over; it does so in the background."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def covered_spans(docs: DataFrame) -> tuple[DataFrame, int]:
     """Blobs of covered (start, stop) spans by bucket of documents, and the number of buckets."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    parts = buckets = min(1 << 15, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    known = _texts(docs.filter("doc_id is not null and octet_length(text) >= " + str(LENGTH)))
-    found = known.mapInArrow(lambda bs: _find_contexts(bs, parts, buckets), BLOB)
+    long = docs.filter("doc_id is not null and octet_length(text) >= " + str(LENGTH))
+    size = long.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    known = _texts(long)
+    hot = hot_grams(known, parts)
+    found = known.mapInArrow(lambda bs: _find_contexts(bs, parts, buckets, hot), BLOB)
     settled = written(found.repartitionById(parts, "target").sortWithinPartitions("target").mapInArrow(lambda bs: _settle(bs, buckets), BLOB), "suffix-settled")
-    del found
-    _release(spark)
     asked = _beside_texts(known, settled.filter("kind = 2"), buckets).mapInArrow(lambda bs: _fetch(bs, parts), BLOB)
     more = written(asked.repartitionById(parts, "target").sortWithinPartitions("target").mapInArrow(lambda bs: _expand(bs, buckets), BLOB), "suffix-expanded")
-    del asked
-    _release(spark)
     return settled.filter("kind = 1").unionByName(more), buckets
 
 

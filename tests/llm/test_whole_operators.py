@@ -1,9 +1,11 @@
 """Cases of the operators that once were left out."""
 
+import hashlib
 import time
 
+import numpy as np
 import pytest
-from cairn.llm import decontamination, jaccard_join, pii, token_counts
+from cairn.llm import decontamination, jaccard_join, pii, suffix_dedup, token_counts
 
 VALUE = "0123456789abcdef0123456789abcdef01234567"
 
@@ -70,6 +72,32 @@ def test_decontamination_does_not_depend_on_blocks(spark):
     assert decontamination.decontaminate(df, none, block_words=10).count() == len(docs)
 
 
+@pytest.mark.parametrize("share", [0.0, 0.5, 1.0])
+def test_hot_grams_change_no_result(spark, monkeypatch, share):
+    """Passages in many surroundings, with none, half or all of the grams taken as hot."""
+    import random
+
+    r = random.Random(7)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(160))
+    texts = []
+    for k in range(60):
+        a, b = sorted(r.sample(range(161), 2))
+        texts.append("".join(r.choice("abc ") for _ in range(r.randrange(80))) + passage[a:b] + "".join(r.choice("xyz ") for _ in range(r.randrange(80))))
+    texts += [passage, passage, passage[:49], passage[:50], "", None, "z" * 300, "z" * 120]
+    grams = np.unique(np.concatenate([suffix_dedup.contexts_of((t or "").encode(), suffix_dedup.Powers())[2] for t in texts]))
+    hot = np.array(sorted(r.sample(grams.tolist(), int(share * len(grams)))), np.uint64)
+    monkeypatch.setattr(suffix_dedup, "hot_grams", lambda *a: hot)
+    rows = list(enumerate(texts))
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    want = suffix_dedup.brute_force([(d, (t or "").encode()) for d, t in rows])
+    assert sorted((x.doc_id, x.n_bytes, x.n_bytes - len(x.kept), len(x.spans), hashlib.sha256(x.kept).hexdigest()) for x in got) == sorted(want)
+
+
+def test_hot_grams_are_found(spark):
+    df = spark.createDataFrame([(k, bytearray(f"{k:06}" + "q" * 900, "ascii")) for k in range(4000)], "doc_id long, text binary")
+    assert len(suffix_dedup.hot_grams(df, 1)) >= 1 and len(suffix_dedup.hot_grams(df.limit(0), 4)) == 0
+
+
 def test_items_longer_than_a_block(spark):
     """Pieces of a long item hold each of its windows once."""
     words = [f"w{k}" for k in range(95)]
