@@ -6,20 +6,23 @@ most ``n_shards`` shards is found by binary search over prefix sums of the group
 sizes, and the order is cut there.  Within that capacity each cut moves back
 towards an even share of what is left, as long as the rest still fits.
 
-The driver holds no table of groups.  It holds one row for each of at most
-``CHUNKS`` slices of the prefix axis, which bounds the answer from both sides,
-and then reads the exact prefix sums only of the few slices in which a cut can
-fall.
+The driver holds no table of groups.  It holds two numbers for each of about
+``CHUNKS`` slices of the prefix axis, which bound the answer from both sides; slices
+in which a cut can fall are sliced again until they hold one group end each, so
+its memory doesn't grow with the number of groups.
 
 Defined cases: a null text has size 1 and all null texts are one group; an empty
 text likewise; repeated rows are separate rows of one group; an empty table gives
-an empty result; null doc_ids come first.
+an empty result; null doc_ids come first.  Texts of any length are hashed whole.
+Only doc_id and text are read, so extra columns can't clash.
 """
 
 from __future__ import annotations
 
 import bisect
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,80 +82,84 @@ def ordered_groups(rows: DataFrame) -> DataFrame:
 class Prefix:
     """Largest group end up to a value, from slices of the prefix axis.
 
-    ``low`` and ``high`` bound the answer by the slices alone; ``exact`` reads
-    the slice from the table if it must.
+    A slice is known by its first and last group end.  ``low`` and ``high`` bound
+    the answer by the slices alone; ``refine`` replaces slices by finer ones, so
+    the driver never holds more than about ``chunks`` slices a round, whatever the
+    number of groups.
     """
 
     def __init__(self, groups: DataFrame, chunks: int = CHUNKS) -> None:
+        self.table, self.chunks = groups.select("end"), chunks
         self.total = groups.agg(F.max("end")).first()[0] or 0
-        self.step = max(1, -(-self.total // chunks))
-        self.table = groups.withColumn("slice", F.floor(F.col("end") / F.lit(self.step)).cast("long"))
-        bounds = self.table.groupBy("slice").agg(F.min("end").alias("lo"), F.max("end").alias("hi")).orderBy("slice").collect() if self.total else []
-        self.slices = [r["slice"] for r in bounds]
-        self.lo = [r["lo"] for r in bounds]
-        self.hi = [r["hi"] for r in bounds]
-        self.held: dict[int, list[int]] = {}
-
-    def _at(self, v: int) -> tuple[int, int]:
-        """The slice's place that may hold the answer (-1: none), and the answer if it doesn't."""
-        k = bisect.bisect_right(self.lo, v) - 1
-        return k, 0
+        self.lo, self.hi = [self.total], [self.total]
+        if self.total:
+            self.lo, self.hi = self._sliced([(0, self.total)])
+
+    def _sliced(self, ranges: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+        """First and last ends of slices of the ranges (first, last), in one job; every range is cut in two at least."""
+        first, last = np.array(ranges, np.int64).T
+        step = np.maximum(1, -(-(last - first + 1) // max(2, self.chunks // len(ranges))))
+
+        def bounds(batches):
+            for batch in batches:
+                end = batch["end"].to_numpy(zero_copy_only=False).astype(np.int64)
+                k = np.searchsorted(first, end, "right") - 1
+                inside = (k >= 0) & (end <= last[np.maximum(k, 0)])
+                end, k = end[inside], k[inside]
+                end.sort()
+                k = np.searchsorted(first, end, "right") - 1
+                piece = (end - first[k]) // step[k]
+                cut = np.flatnonzero((np.diff(k, prepend=-1) != 0) | (np.diff(piece, prepend=-1) != 0))
+                stop = np.append(cut[1:], len(end)) - 1 if len(cut) else cut
+                columns = (k[cut], piece[cut], end[cut], end[stop]) if len(cut) else [np.zeros(0, np.int64)] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["k", "piece", "lo", "hi"])
+
+        found = self.table.mapInArrow(bounds, "k long, piece long, lo long, hi long")
+        rows = sorted(found.groupBy("k", "piece").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select("lo", "hi").collect())
+        return [r["lo"] for r in rows], [r["hi"] for r in rows]
+
+    def place(self, v: int) -> int:
+        """The slice that holds ``v`` or lies before it; -1: none."""
+        return bisect.bisect_right(self.lo, v) - 1
 
     def low(self, v: int) -> int:
-        k, none = self._at(v)
-        return none if k < 0 else self.hi[k] if self.hi[k] <= v else self.lo[k]
+        k = self.place(v)
+        return 0 if k < 0 else self.hi[k] if self.hi[k] <= v else self.lo[k]
 
     def high(self, v: int) -> int:
-        k, none = self._at(v)
-        return none if k < 0 else min(v, self.hi[k])
+        k = self.place(v)
+        return 0 if k < 0 else min(v, self.hi[k])
 
-    def fetch(self, ranges: list[tuple[int, int]]) -> None:
-        """Reads the slices that the ranges of places touch, in one job."""
-        want = sorted({k for a, b in ranges for k in range(max(a, 0), b + 1)} - self.held.keys())
-        want = [k for k in want if self.lo[k] != self.hi[k]]
+    def refine(self, places: list[int]) -> bool:
+        """Slices anew those of the places that hold several ends; whether there were any."""
+        want = [k for k in sorted(set(places)) if k >= 0 and self.lo[k] != self.hi[k]]
         if not want:
-            return
-        cond = F.lit(False)
-        for a, b in _runs(want):
-            cond = cond | F.col("end").between(self.lo[a], self.hi[b])
-        got: dict[int, list[int]] = {k: [] for k in want}
-        place = {self.slices[k]: k for k in want}
-        for r in self.table.filter(cond).select("slice", "end").toLocalIterator():
-            got[place[r["slice"]]].append(r["end"])
-        self.held |= {k: sorted(v) for k, v in got.items()}
+            return False
+        lo, hi = self._sliced([(self.lo[k], self.hi[k]) for k in want])
+        gone = set(want)
+        kept = [(x, y) for k, (x, y) in enumerate(zip(self.lo, self.hi, strict=True)) if k not in gone]
+        merged = sorted([*kept, *zip(lo, hi, strict=True)])
+        self.lo, self.hi = [x for x, _ in merged], [y for _, y in merged]
+        return True
 
     def exact(self, v: int) -> int:
-        k, none = self._at(v)
-        if k < 0:
-            return none
-        if self.hi[k] <= v or self.lo[k] == self.hi[k]:
-            return self.hi[k] if self.hi[k] <= v else self.lo[k]
-        if k not in self.held:
-            self.fetch([(k, k)])
-        ends = self.held[k]
-        return ends[bisect.bisect_right(ends, v) - 1]
+        while True:
+            k = self.place(v)
+            if k < 0:
+                return 0
+            if self.hi[k] <= v or self.lo[k] == self.hi[k]:
+                return self.hi[k]
+            self.refine([k])
 
     def after(self, v: int) -> int:
         """Smallest group end over ``v``."""
-        k = bisect.bisect_right(self.hi, v)
-        if k >= len(self.hi):
-            return self.total
-        if self.lo[k] > v:
-            return self.lo[k]
-        if k not in self.held:
-            self.fetch([(k, k)])
-        ends = self.held[k]
-        return ends[bisect.bisect_right(ends, v)]
-
-
-def _runs(xs: list[int]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for x in xs:
-        if out and out[-1][1] == x - 1:
-            out[-1] = (out[-1][0], x)
-        else:
-            out.append((x, x))
-    return out
+        while True:
+            k = bisect.bisect_right(self.hi, v)
+            if k >= len(self.hi):
+                return self.total
+            if self.lo[k] > v:
+                return self.lo[k]
+            self.refine([k])
 
 
 def _fits(reach, total: int, capacity: int, shards: int, start: int = 0) -> bool:
@@ -178,14 +185,17 @@ def minimax_cuts(prefix: Prefix, shards: int) -> tuple[int, list[int]]:
     total = prefix.total
     if not total:
         return 0, [0] * shards
-    lo = _least(prefix.high, total, shards, -(-total // shards), total)
-    hi = _least(prefix.low, total, shards, lo, total)
-    ranges, a, b = [], 0, 0
-    for _ in range(shards):
-        a, b = max(a, prefix.low(a + lo)), min(total, prefix.high(b + hi))
-        ranges.append((prefix._at(a)[0], prefix._at(b)[0]))
-    if sum(y - x for x, y in ranges) <= 64 * shards:
-        prefix.fetch(ranges)
+    lo, hi = -(-total // shards), total
+    while True:
+        lo = _least(prefix.high, total, shards, lo, hi)
+        hi = _least(prefix.low, total, shards, lo, hi)
+        # Slices in which a cut can fall: its place moves with the capacity.
+        touched, a, b = [], 0, 0
+        for _ in range(shards):
+            a, b = prefix.low(a + lo), min(total, prefix.high(b + hi))
+            touched += range(max(0, prefix.place(a)), prefix.place(min(total, a + lo)) + 1) if lo == hi else range(max(0, prefix.place(a)), prefix.place(b) + 1)
+        if lo == hi or not prefix.refine(touched):
+            break
     capacity = _least(prefix.exact, total, shards, lo, hi)
     cuts, start = [], 0
     for left in range(shards, 0, -1):
