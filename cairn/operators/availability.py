@@ -90,6 +90,20 @@ def replication_stats(plan: DataFrame) -> DataFrame:
     return per.agg(F.count(F.lit(1)).alias("chunks_scanned"), F.coalesce(F.sum("under"), F.lit(0)).alias("chunks_under_replicated")).join(copies)
 
 
+def source_failovers(plan: DataFrame, sources: DataFrame) -> DataFrame:
+    """chunk_id, failovers and supplied of each chunk that needs a repair.
+
+    ``plan`` as from ``replication_plan``; ``sources``: chunk_id, node_id and answer
+    (ok, absent, error) of the readable replicas.  Sources are asked by node id until
+    one answers; errors before that are failovers, an absent chunk is passed over.
+    """
+    wanted = plan.filter("not good").select("chunk_id").distinct()
+    first = sources.filter("answer = 'ok'").groupBy("chunk_id").agg(F.min("node_id").alias("_ok"))
+    asked = wanted.join(sources, "chunk_id", "left").join(first, "chunk_id", "left")
+    error = (F.col("answer") == "error") & (F.col("_ok").isNull() | (F.col("node_id") < F.col("_ok")))
+    return asked.groupBy("chunk_id").agg(F.count_if(error).alias("failovers"), F.max(F.col("_ok").isNotNull()).alias("supplied"))
+
+
 def artifact_health(artifact_chunks: DataFrame, locations: DataFrame, nodes: DataFrame, replicas: int) -> DataFrame:
     """artifact_id and health, over (artifact_id, chunk_id) with a null chunk for an artifact without any."""
     reach = readable(locations, nodes).groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"))

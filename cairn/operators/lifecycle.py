@@ -27,19 +27,31 @@ def decide(found: DataFrame, rules: DataFrame, evaluated_us: int) -> DataFrame:
     """version_id, artifact_id, artifact_kind, rank_in_kind, decision, reason, logical_size_bytes.
 
     ``found`` has created_us (epoch microseconds).  The rank counts protected
-    versions too; ages compare strictly.
+    versions too; ages compare strictly.  A version whose kind has no rule, or more
+    than one, raises: none is left out of a run.  What is broadcast has at most a
+    row for each kind there is.
     """
     newest = Window.partitionBy("artifact_id", "artifact_kind").orderBy(F.col("created_us").desc(), F.col("version_id"))
-    ranked = found.withColumn("rank_in_kind", F.row_number().over(newest).cast("long")).join(F.broadcast(rules), "artifact_kind")
+    per = rules.filter(F.col("artifact_kind").isin(*K.KINDS)).groupBy("artifact_kind").agg(F.count(F.lit(1)).alias("_rules"), F.first("keep_last_n").alias("keep_last_n"), F.first("max_age_seconds").alias("max_age_seconds"))
+    ranked = found.withColumn("rank_in_kind", F.row_number().over(newest).cast("long")).join(F.broadcast(per), "artifact_kind", "left")
+    wrong = F.raise_error(F.concat(F.lit("not one rule for kind "), F.coalesce("artifact_kind", F.lit("null")))).cast("int")
+    ranked = ranked.withColumn("keep_last_n", F.when(F.col("_rules") == 1, F.col("keep_last_n")).otherwise(wrong))
     young = F.coalesce((F.lit(evaluated_us) - F.col("created_us")) < F.col("max_age_seconds") * 1_000_000, F.lit(False))
     reason = (
-        F.when(F.col("pinned"), "pinned").when(F.col("tagged"), "tagged").when(F.col("in_manifest"), "manifest-referenced")
+        F.when(F.col("keep_last_n").isNull(), F.lit(None).cast("string")).when(F.col("pinned"), "pinned").when(F.col("tagged"), "tagged").when(F.col("in_manifest"), "manifest-referenced")
         .when(F.col("rank_in_kind") <= F.col("keep_last_n"), "keep-last-n").when(young, "age-not-reached").otherwise("policy-retire")
     )
     decided = ranked.withColumn("reason", reason).withColumn("decision", F.when(F.col("reason") == "policy-retire", "retire").otherwise("retain"))
     return decided.select("version_id", "artifact_id", "artifact_kind", "rank_in_kind", "decision", "reason", "logical_size_bytes")
 
 
+def rule_problems(versions: DataFrame, rules: DataFrame) -> DataFrame:
+    """artifact_kind, versions and rules of the kinds of versions that don't have exactly one rule."""
+    held = rules.groupBy("artifact_kind").agg(F.count(F.lit(1)).alias("rules"))
+    per = versions.groupBy("artifact_kind").agg(F.count(F.lit(1)).alias("versions")).join(held, "artifact_kind", "left").na.fill(0, ["rules"])
+    return per.filter("rules <> 1")
+
+
 def stats(decisions: DataFrame, mode: str = "dry-run") -> DataFrame:
     """Counts of a run; an applied run retires its candidates, a dry run none."""
     retire = F.col("decision") == "retire"

@@ -55,6 +55,16 @@ def physical_stats(told: DataFrame) -> DataFrame:
     )
 
 
+def run_stats(told: DataFrame, node: str, mode: str = "dry-run") -> DataFrame:
+    """Physical counters of a run on one node; an applied run deletes what is collectible, a dry run nothing."""
+    done = F.col("collectible") & F.lit(mode == "apply")
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("size_bytes"))), F.lit(0))
+    return told.filter(F.col("node_id") == node).agg(
+        F.count(F.lit(1)).alias("scanned_chunks"), total(F.lit(True)).alias("scanned_bytes"), F.count_if("collectible").alias("collectible_chunks"), total(F.col("collectible")).alias("collectible_bytes"),
+        F.count_if(done).alias("deleted_chunks"), total(done).alias("deleted_bytes"),
+    )
+
+
 def dead_locations(s: Snapshot, node: str) -> DataFrame:
     return s.locations.filter(F.col("node_id") == node).join(live_chunks(s), "chunk_id", "left_anti")
 

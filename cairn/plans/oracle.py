@@ -213,6 +213,25 @@ SQL |= {
     "start_outcomes": "SELECT kind, CASE WHEN kind = 'replication' OR NOT EXISTS (SELECT 1 FROM sessions WHERE state = 'open') THEN 'ok' ELSE 'open-sessions' END AS outcome FROM (VALUES ('gc'), ('replication'), ('lifecycle')) v(kind)",
 }
 
+_KEYED = {
+    "chunks": ("chunks", "chunk_id"), "objects": ("objects", "object_id"), "object_layouts": ("layouts", "layout_id"), "object_layout_chunks": ("layout_chunks", "layout_id || ':' || chunk_index"), "artifact_versions": ("versions", "version_id"),
+    "storage_locations": ("locations", "chunk_id || ':' || node_id"), "tags": ("tags", "artifact_id || ':' || tag_name"), "manifest_entries": ("manifest_entries", "manifest_id || ':' || role"), "upload_sessions": ("sessions", "session_id"),
+    "upload_session_finalizations": ("finalizations", "session_id"), "artifact_version_retirements": ("retirements", "version_id"), "artifact_version_pins": ("pins", "version_id"), "storage_nodes": ("nodes", "node_id"),
+}
+SQL |= {
+    "point_lookups": " UNION ALL ".join(f"SELECT '{name}' AS name, least({COUNT}, 1) AS n, min({key}) AS key FROM {t}" for name, (t, key) in _KEYED.items()),
+    "chunk_locations": "SELECT chunk_id, node_id, state FROM locations WHERE chunk_id = (SELECT min(chunk_id) FROM chunks)",
+    "nodes_in_order": "SELECT * FROM nodes",
+    "policy_files_valid": """SELECT p_partkey, p_partkey % 13 NOT IN (1, 2) AND p_partkey % 11 NOT IN (1, 2) AND p_size * 21 <= 1000 AND (p_partkey % 7 = 3 OR (p_partkey % 7 NOT IN (1, 2, 4) AND p_partkey * 20000 <= 315360000)) AS valid FROM part""",
+    "decisions_need_rules": f"SELECT k AS artifact_kind, n AS versions, CASE WHEN k = 'generic' THEN 0 ELSE 2 END::BIGINT AS rules FROM (SELECT coalesce(kind, 'generic') AS k, {COUNT} AS n FROM versions GROUP BY 1) WHERE k IN ('generic', 'embedding-index')",
+    "gc_run_stats": f"""SELECT m.mode, {COUNT} AS scanned_chunks, sum(size_bytes)::BIGINT AS scanned_bytes, count(*) FILTER (WHERE collectible)::BIGINT AS collectible_chunks, coalesce(sum(size_bytes) FILTER (WHERE collectible), 0)::BIGINT AS collectible_bytes,
+      count(*) FILTER (WHERE collectible AND m.mode = 'apply')::BIGINT AS deleted_chunks, coalesce(sum(size_bytes) FILTER (WHERE collectible AND m.mode = 'apply'), 0)::BIGINT AS deleted_bytes FROM told, (VALUES ('dry-run'), ('apply')) m(mode) WHERE node_id = '{TARGET}' GROUP BY 1""",
+    "source_failovers": """SELECT w.chunk_id, count(*) FILTER (WHERE s.d < '5' AND (f.ok IS NULL OR s.node_id < f.ok))::BIGINT AS failovers, max(f.ok IS NOT NULL) AS supplied
+      FROM (SELECT DISTINCT chunk_id FROM desired WHERE (chunk_id, node_id) NOT IN (SELECT (chunk_id, node_id) FROM readable)) w
+      LEFT JOIN (SELECT chunk_id, node_id, substr(sha256(node_id || chunk_id), 1, 1) AS d FROM readable) s USING (chunk_id)
+      LEFT JOIN (SELECT chunk_id, min(node_id) AS ok FROM readable WHERE substr(sha256(node_id || chunk_id), 1, 1) >= '7' GROUP BY 1) f USING (chunk_id) GROUP BY 1""",
+}
+
 # Those that read more than one shape of the same rows.
 _FLAT = "flat AS MATERIALIZED (SELECT source, least({size}, n - i * {size})::BIGINT AS n, sha256(unhex(substr(hx, (i * {size} * 2 + 1)::BIGINT, {size} * 2))) AS chunk_id FROM (SELECT source, hx, n, unnest(range((n + {size} - 1) // {size})) AS i FROM (SELECT source, lower(hex({text})) AS hx, strlen({text}) AS n FROM documents WHERE text IS NOT NULL)))"
 SQL["chunk_dedup_by_source"] = f"""WITH {_FLAT.format(size=1024, text="text")}, per AS (SELECT source, chunk_id, count(*) AS c, any_value(n) AS n FROM flat GROUP BY 1, 2)

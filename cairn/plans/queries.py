@@ -14,7 +14,9 @@ from cairn.functions import ids, validators
 from cairn.operators import availability as av
 from cairn.operators import chunking, dedup, lifecycle, liveness, validate, writes
 from cairn.sources.catalog import CDC, CHUNK_SIZE, EPOCH, REPLICAS, Catalog, table, uuid_of
-from cairn.sources.lookups import get
+from cairn.sources.lookups import all_nodes, get, locations_of
+from cairn.sources.schemas import KEYS
+from cairn.sources.stores import parse_policies
 
 EVALUATED_S = EPOCH + 45 * 86400
 TARGET = "node-0"
@@ -165,6 +167,15 @@ def replication_stats(c):
     return longs(av.replication_stats(av.replication_plan(c.desired, c.locations, c.nodes, c.inventory)), "chunks_scanned", "chunks_under_replicated", "replicas_verified", "replicas_written", "bytes_copied")
 
 
+@on_catalog
+def source_failovers(c):
+    """Repairs in which some nodes answer with an error or don't have the chunk."""
+    digit = F.substring(F.sha2(F.concat("node_id", "chunk_id"), 256), 1, 1)
+    answer = F.when(digit < "5", "error").when(digit < "7", "absent").otherwise("ok")
+    sources = av.readable(c.locations, c.nodes).select("chunk_id", "node_id", answer.alias("answer"))
+    return av.source_failovers(av.replication_plan(c.desired, c.locations, c.nodes, c.inventory), sources)
+
+
 @on_catalog
 def artifact_health(c):
     first = c.first_layout_chunks.select("object_id", "chunk_id")
@@ -291,6 +302,14 @@ def gc_physical_stats(c):
     return longs(liveness.physical_stats(liveness.classified(c.inventory, bare_snapshot(c))), "scanned_chunks", "scanned_bytes", "collectible_chunks", "collectible_bytes")
 
 
+@on_catalog
+def gc_run_stats(c):
+    """Physical counters of a dry and an applied run on one node."""
+    told = liveness.classified(c.inventory, bare_snapshot(c))
+    one = lambda mode: liveness.run_stats(told, TARGET, mode).withColumn("mode", F.lit(mode))
+    return longs(one("dry-run").unionByName(one("apply")), "scanned_chunks", "scanned_bytes", "collectible_chunks", "collectible_bytes", "deleted_chunks", "deleted_bytes")
+
+
 @on_catalog
 def gc_dry_run_counts(c):
     return liveness.dry_run_counts(bare_snapshot(c), TARGET)
@@ -409,7 +428,7 @@ def fk_violations(c):
         "storage_locations": c.locations.filter("state <> 'missing'"), "artifact_version_pins": c.pins, "manifest_entries": c.manifest_entries, "upload_sessions": c.sessions, "upload_session_finalizations": c.finalizations,
         "artifact_version_retirements": c.retirements,
     }
-    references = [r for r in validate.REFERENCES if r[1] not in ("artifact_id", "parent_version_id")]
+    references = [r for r in validate.REFERENCES if r[1] not in ("artifact_id", "parent_version_id", "lifecycle_run_id")]
     return validate.dangling(held, references)
 
 
@@ -443,6 +462,26 @@ def policy_valid(spark, sf_dir):
     return lifecycle.policy_report(policies, made)
 
 
+@query
+def policy_files_valid(spark, sf_dir):
+    """Policy files made from parts: bounds, names, and values of a wrong JSON type."""
+    k = F.col("p_partkey")
+    age = F.when(k % 7 == 1, F.lit('"abc"')).when(k % 7 == 2, F.lit("1.5")).when(k % 7 == 3, F.lit("null")).when(k % 7 == 4, F.lit("true")).otherwise((k * 20000).cast("string"))
+    keep = F.when(k % 11 == 1, F.lit('"3"')).when(k % 11 == 2, F.lit("2.0")).otherwise((F.col("p_size") * 21).cast("string"))
+    rule = lambda kind, n, a: F.concat(F.lit(f'{{"artifact_kind":"{kind}","keep_last_n":'), n, F.lit(',"max_age_seconds":'), a, F.lit("}"))
+    rest = ",".join(f'{{"artifact_kind":"{x}","keep_last_n":1,"max_age_seconds":null}}' for x in K.KINDS[1:])
+    name = F.when(k % 13 == 1, F.lit("5")).when(k % 13 == 2, F.lit('""')).otherwise(F.lit('"p"'))
+    json = F.concat(F.lit('{"name":'), name, F.lit(',"rules":['), rule(K.KINDS[0], keep, age), F.lit(f",{rest}]}}"))
+    return parse_policies(table(spark, sf_dir, "part").select("p_partkey", json.alias("json"))).select("p_partkey", "valid")
+
+
+@on_catalog
+def decisions_need_rules(c):
+    """Kinds of versions that a policy with a rule missing and a rule repeated can't decide on."""
+    some = rules(c.spark).filter("artifact_kind <> 'generic'")
+    return lifecycle.rule_problems(lifecycle.with_kind(c.versions), some.unionByName(some.filter("artifact_kind = 'embedding-index'")))
+
+
 @on_catalog
 def busy_guards(c):
     none = c.sessions.limit(0).select("state")
@@ -528,6 +567,33 @@ def node_lookup(c):
     return get("storage_nodes", c.nodes, TARGET)
 
 
+@on_catalog
+def point_lookups(c):
+    """The row of the smallest key of each table, found by that key."""
+    tables = {
+        "chunks": c.chunks, "objects": c.objects, "object_layouts": c.layouts, "object_layout_chunks": c.layout_chunks, "artifact_versions": c.versions, "storage_locations": c.locations, "tags": c.tags,
+        "manifest_entries": c.manifest_entries, "upload_sessions": c.sessions, "upload_session_finalizations": c.finalizations, "artifact_version_retirements": c.retirements, "artifact_version_pins": c.pins, "storage_nodes": c.nodes,
+    }
+    out = None
+    for name, rows in tables.items():
+        key = rows.agg(F.min(F.struct(*KEYS[name])).alias("k")).first()["k"]
+        found = get(name, rows, *(key or [None] * len(KEYS[name])))
+        one = found.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"), F.min(F.concat_ws(":", *KEYS[name])).alias("key"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@on_catalog
+def chunk_locations(c):
+    """Locations of the smallest chunk id, by node."""
+    return locations_of(c.locations, c.chunks.agg(F.min("chunk_id")).first()[0]).select("chunk_id", "node_id", "state")
+
+
+@on_catalog
+def nodes_in_order(c):
+    return all_nodes(c.nodes)
+
+
 @on_catalog
 def layout_chunk_sizes(c):
     """Layout chunks with the stored size of the chunk."""

@@ -76,17 +76,29 @@ REFERENCES = (
     ("artifact_versions", "root_object_id", "objects", "object_id"),
     ("artifact_versions", "parent_version_id", "artifact_versions", "version_id"),
     ("artifact_version_metadata", "version_id", "artifact_versions", "version_id"),
+    ("tags", "artifact_id", "artifacts", "artifact_id"),
     ("tags", "version_id", "artifact_versions", "version_id"),
     ("storage_locations", "chunk_id", "chunks", "chunk_id"),
     ("manifest_entries", "manifest_id", "manifests", "manifest_id"),
     ("manifest_entries", "version_id", "artifact_versions", "version_id"),
     ("runs", "manifest_id", "manifests", "manifest_id"),
+    ("run_tags", "run_id", "runs", "run_id"),
     ("upload_sessions", "artifact_id", "artifacts", "artifact_id"),
+    ("upload_sessions", "parent_version_id", "artifact_versions", "version_id"),
     ("upload_sessions", "finalized_version_id", "artifact_versions", "version_id"),
+    ("upload_session_metadata", "session_id", "upload_sessions", "session_id"),
     ("upload_session_finalizations", "session_id", "upload_sessions", "session_id"),
     ("upload_session_finalizations", "layout_id", "object_layouts", "layout_id"),
     ("upload_session_nodes", "session_id", "upload_sessions", "session_id"),
+    ("replication_runs", "version_id", "artifact_versions", "version_id"),
+    ("replication_runs", "layout_id", "object_layouts", "layout_id"),
+    ("replication_run_nodes", "run_id", "replication_runs", "run_id"),
     ("artifact_version_pins", "version_id", "artifact_versions", "version_id"),
     ("lifecycle_policy_rules", "policy_id", "lifecycle_policies", "policy_id"),
+    ("lifecycle_runs", "policy_id", "lifecycle_policies", "policy_id"),
+    ("lifecycle_run_decisions", "run_id", "lifecycle_runs", "run_id"),
+    ("lifecycle_run_decisions", "version_id", "artifact_versions", "version_id"),
+    ("lifecycle_run_decisions", "artifact_id", "artifacts", "artifact_id"),
     ("artifact_version_retirements", "version_id", "artifact_versions", "version_id"),
+    ("artifact_version_retirements", "lifecycle_run_id", "lifecycle_runs", "run_id"),
 )

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import constants as K
@@ -97,20 +97,29 @@ def removed(held: DataFrame, gone: DataFrame) -> DataFrame:
 RULE = "artifact_kind string, keep_last_n long, max_age_seconds long"
 
 
+def _is(json: Column, key: str, *types: str) -> Column:
+    """Whether a key of a JSON object has a value of one of the types."""
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(json), f"$.{key}", "variant"))
+    return F.coalesce(kind.isin(*types), F.lit(False))
+
+
 def parse_policies(texts: DataFrame, column: str = "json") -> DataFrame:
     """``texts`` with name, rules and valid of a policy in JSON.
 
     A policy has a name and five rules, one for each kind, each with exactly the
-    keys artifact_kind, keep_last_n and max_age_seconds, within bounds.
+    keys artifact_kind, keep_last_n and max_age_seconds, within bounds.  Names are
+    JSON strings and numbers JSON integers: a value of another type isn't read as
+    one, so a mistyped age never becomes no age limit.
     """
     parsed = F.from_json(F.col(column), f"name string, rules array<struct<{RULE}>>")
     raw_rules = F.from_json(F.get_json_object(column, "$.rules"), "array<string>")
     keys = F.array(*[F.lit(k) for k in ("artifact_kind", "keep_last_n", "max_age_seconds")])
     exact = F.forall(raw_rules, lambda r: F.array_sort(F.json_object_keys(r)) == keys)
+    typed = F.forall(raw_rules, lambda r: _is(r, "artifact_kind", "STRING") & _is(r, "keep_last_n", "BIGINT") & _is(r, "max_age_seconds", "BIGINT", "VOID")) & _is(F.col(column), "name", "STRING")
     out = texts.withColumn("_p", parsed).withColumn("name", F.col("_p.name")).withColumn("rules", F.col("_p.rules")).drop("_p")
     kinds = F.array_distinct(F.transform("rules", lambda r: r["artifact_kind"]))
     sound = F.forall("rules", lambda r: rule_ok(r["artifact_kind"], r["keep_last_n"], r["max_age_seconds"]))
-    valid = (F.size("rules") == len(K.KINDS)) & (F.size(kinds) == len(K.KINDS)) & sound & exact & policy_name_ok(F.col("name"))
+    valid = typed & (F.size("rules") == len(K.KINDS)) & (F.size(kinds) == len(K.KINDS)) & sound & exact & policy_name_ok(F.col("name"))
     return out.withColumn("valid", F.coalesce(valid, F.lit(False)))
 
 

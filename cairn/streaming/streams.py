@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from cairn.operators.chunking import fixed_chunks
+from cairn.operators.chunking import cdc_sizes, fixed_chunks
 
 
 def hourly(events: DataFrame) -> DataFrame:
@@ -43,24 +43,31 @@ def append_once(path: str):
 FRAGMENT_CHUNKS = "object_key string, chunk_index long, byte_offset long, chunk_size_bytes long, chunk_id string"
 
 
-def chunk_fragments(fragments: DataFrame, size: int) -> DataFrame:
-    """Fixed-size chunks of objects that arrive as fragments (object_key, seq, content, last).
+def chunk_fragments(fragments: DataFrame, size: int | None = None, cdc: tuple[int, int, int] | None = None) -> DataFrame:
+    """Chunks of objects that arrive as fragments (object_key, seq, content, last): fixed ``size``, or ``cdc`` (min, average, max).
 
-    The state of an object is less than one chunk of bytes and its counters;
-    fragments of a batch are taken by ``seq``, batches in their order.  Boundaries
-    don't depend on how an object is cut into fragments.
+    The state of an object is less than one chunk of bytes and its counters, so an
+    object may be larger than any value can be; fragments of a batch are taken by
+    ``seq``, batches in their order.  Boundaries don't depend on how an object is
+    cut into fragments: a chunk is done once its end can't move any more, which is
+    when bytes follow it or it has the greatest size.
     """
+    greatest = size or cdc[2]
+
+    def pieces(raw: bytes, ended: bool) -> list[int]:
+        sizes = cdc_sizes(raw, *cdc) if cdc else [min(size, len(raw) - at) for at in range(0, len(raw), size)]
+        return sizes if ended or not sizes or sizes[-1] == greatest else sizes[:-1]
 
     def step(key, parts, state: GroupState):
         index, offset, rest = state.get if state.exists else (0, 0, b"")
         rows = pd.concat(list(parts)).sort_values("seq")
         out, ended = [], False
         for content, last in zip(rows["content"], rows["last"], strict=True):
-            rest, ended = bytes(rest) + bytes(content or b""), ended or bool(last)
-            while len(rest) >= size or (ended and rest):
-                piece, rest = rest[:size], rest[size:]
-                out.append((key[0], index, offset, len(piece), hashlib.sha256(piece).hexdigest()))
-                index, offset = index + 1, offset + len(piece)
+            raw, ended, at = bytes(rest) + bytes(content or b""), ended or bool(last), 0
+            for n in pieces(raw, ended):
+                out.append((key[0], index, offset, n, hashlib.sha256(memoryview(raw)[at : at + n]).hexdigest()))
+                index, offset, at = index + 1, offset + n, at + n
+            rest = raw[at:]
         if ended:
             state.remove()
         else:

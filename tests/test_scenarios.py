@@ -181,6 +181,43 @@ def policy(kinds, keep=1, name="p", extra=""):
     return f'{{"name":"{name}","rules":[{rules}]}}'
 
 
+@pytest.mark.parametrize(("key", "value", "good"), [("max_age_seconds", '"abc"', False), ("max_age_seconds", "1.5", False), ("max_age_seconds", "true", False), ("max_age_seconds", "null", True), ("max_age_seconds", "60", True), ("keep_last_n", '"1"', False), ("keep_last_n", "1.0", False), ("keep_last_n", "null", False), ("artifact_kind", "5", False)])
+def test_policy_values_have_their_types(spark, key, value, good):
+    text = policy(K.KINDS)
+    rule = {"artifact_kind": '"generic"', "keep_last_n": "1", "max_age_seconds": "null"} | {key: value}
+    rest = ",".join(f'{{"artifact_kind":"{k}","keep_last_n":1,"max_age_seconds":null}}' for k in K.KINDS[1:])
+    text = '{"name":"p","rules":[{' + ",".join(f'"{k}":{v}' for k, v in rule.items()) + "}," + rest + "]}"
+    named = text.replace('"name":"p"', '"name":7')
+    got = {r.json: r.valid for r in stores.parse_policies(frame(spark, "json string", (text,), (named,))).collect()}
+    assert got == {text: good, named: False}
+
+
+def test_kinds_without_one_rule_raise(spark):
+    found = frame(spark, "version_id string, artifact_id string, artifact_kind string, created_us long, logical_size_bytes long, pinned boolean, tagged boolean, in_manifest boolean", ("a", "x", "generic", 1, 1, False, False, False), ("b", "x", "embedding-index", 1, 1, True, False, False))
+    ddl = "artifact_kind string, keep_last_n int, max_age_seconds long"
+    for rows in ([("generic", 1, None)], [("generic", 1, None), ("generic", 2, None), ("embedding-index", 1, None)]):
+        with pytest.raises(Exception, match="not one rule"):
+            lifecycle.decide(found, frame(spark, ddl, *rows), 5).collect()
+        assert lifecycle.rule_problems(found, frame(spark, ddl, *rows)).count() == 1
+
+
+def test_every_reference_is_checked(spark):
+    """A child row without its parent is reported for each reference, a null for none."""
+    tables = {}
+    for name in {t for r in schemas.REFERENCES for t in (r[0], r[2])}:
+        columns = sorted({r[1] for r in schemas.REFERENCES if r[0] == name} | {r[3] for r in schemas.REFERENCES if r[2] == name})
+        ddl = ", ".join(f"{c} string" for c in columns)
+        tables[name] = frame(spark, ddl, tuple(f"{name}.{c}" for c in columns), tuple(None for _ in columns))
+    got = {r.reference: r.n for r in validate.dangling(tables).collect()}
+    assert got == {f"{c}.{col}": int(f"{c}.{col}" != f"{p}.{key}") for c, col, p, key in schemas.REFERENCES} and len(got) == 32
+
+
+def test_source_failovers(spark):
+    plan = frame(spark, "chunk_id string, good boolean", ("a", False), ("a", True), ("b", False), ("c", True), ("d", False))
+    sources = frame(spark, "chunk_id string, node_id string, answer string", ("a", "1", "error"), ("a", "2", "absent"), ("a", "3", "ok"), ("a", "4", "error"), ("b", "1", "error"), ("b", "2", "error"), ("c", "1", "error"))
+    assert sorted(map(tuple, av.source_failovers(plan, sources).collect())) == [("a", 1, True), ("b", 2, False), ("d", 0, False)]
+
+
 def test_policy_files(spark):
     cases = {policy(K.KINDS): True, policy(K.KINDS[:4]): False, policy((*K.KINDS, "generic")): False, policy(K.KINDS, 1001): False, policy(K.KINDS, name=""): False, policy(K.KINDS, extra=',"more":1'): False, "not json": False}
     got = stores.parse_policies(frame(spark, "json string", *[(c,) for c in cases])).collect()

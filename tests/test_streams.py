@@ -2,6 +2,8 @@
 
 import hashlib
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from cairn.operators import chunking
@@ -49,6 +51,27 @@ def test_fragments(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_content_defined_fragments(spark, tmp_path):
+    """Fragments of any cut give the chunks of the whole object."""
+    whole = {"a": np.random.default_rng(1).integers(0, 256, 30_000, dtype=np.uint8).tobytes(), "b": b"q" * 5000, "c": b"", "d": b"short"}
+    rows = []
+    for key, raw in whole.items():
+        cuts = sorted({0, len(raw), *[min(len(raw), n) for n in (1, 90, 256, 4097, 4098, 20_000)]}) if raw else [0, 0]
+        rows += [(key, k, raw[x:y], k == len(cuts) - 2) for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
+    ddl = "object_key string, seq int, content binary, last boolean"
+    for seq in range(7):
+        spark.createDataFrame([(a, b, bytearray(c), d) for a, b, c, d in rows if b == seq], ddl).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = drained(streams.chunk_fragments(stream, cdc=(64, 256, 1024)), "cdc_fragments").collect()
+    want = []
+    for key, raw in whole.items():
+        at = 0
+        for k, n in enumerate(chunking.cdc_reference(raw, 64, 256, 1024)):
+            want.append((key, k, at, n, hashlib.sha256(raw[at : at + n]).hexdigest()))
+            at += n
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 60
+
+
 def test_batches_replace_themselves(spark, tmp_path):
     sink = streams.append_once(str(tmp_path / "out"))
     df = spark.range(3)
