@@ -25,14 +25,17 @@ def fixed_chunks(content: Column, size: int = K.DEFAULT_CHUNK_SIZE) -> Column:
     """Array of chunk structs of a binary column; none for empty content."""
     if size <= 0:
         raise ValueError("chunk size must be positive")
-    length = F.octet_length(content)
-    last = F.floor((length - 1) / size)
-    one = lambda i: F.substring(content, (i * size + 1).cast("int"), F.lit(size))
-    made = F.transform(
-        F.sequence(F.lit(0).cast("long"), last),
-        lambda i: F.struct(i.alias("chunk_index"), (i * size).alias("byte_offset"), F.least(F.lit(size).cast("long"), length - i * size).alias("chunk_size_bytes"), sha256(one(i)).alias("chunk_id")),
-    )
-    return F.when(length > 0, made).otherwise(F.expr(f"cast(array() as {CHUNKS})"))
+
+    def made(bytes_: Column) -> Column:
+        length = F.octet_length(bytes_)
+        one = lambda i: F.substring(bytes_, (i * size + 1).cast("int"), F.lit(size))
+        return F.transform(
+            F.sequence(F.lit(0).cast("long"), F.floor((length - 1) / size)),
+            lambda i: F.struct(i.alias("chunk_index"), (i * size).alias("byte_offset"), F.least(F.lit(size).cast("long"), length - i * size).alias("chunk_size_bytes"), sha256(one(i)).alias("chunk_id")),
+        )
+
+    # Bound once: a binary column is copied as a whole each time it is read from a row.
+    return F.when(F.octet_length(content) > 0, F.get(F.transform(F.array(content), made), F.lit(0))).otherwise(F.expr(f"cast(array() as {CHUNKS})"))
 
 
 def fixed_layouts(objects: DataFrame, size: int, content: str = "content") -> DataFrame:
