@@ -10,6 +10,14 @@ again as the next stage's ``docs``; ``run`` does so in the shared folder.
    that consist of them go.
 4. mixing: documents are repeated towards the weights of their sources.
 5. sharding: the mixed rows, copies as rows of their own, are put into shards.
+
+Defined cases: null and empty texts and texts without a letter have no language and
+go in stage 1; a null lang isn't learned, a null source is a source of its own; rows
+without a doc_id stay (stages 2 to 4) and come first in stage 5; rows equal in doc_id
+and text are one document after stage 2, rows that share a doc_id only are not; ties
+go to the smaller doc_id; texts of any length are taken whole; an empty table gives
+an empty result of the same columns; extra columns, whatever their names, pass
+through the first four stages.
 """
 
 from __future__ import annotations
