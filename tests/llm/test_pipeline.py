@@ -52,3 +52,22 @@ def test_stages(spark, folder):
 def test_run_agrees_with_itself(spark, folder):
     at, _, _ = folder
     assert sorted(map(tuple, corpus_pipeline.run(spark, at).collect())) == sorted(map(tuple, corpus_pipeline.run(spark, at).collect()))
+
+
+def test_odd_tables(spark, tmp_path):
+    """An empty table, nulls in every column, and extra columns with the names that operators use."""
+    from test_operators import EDGES, odd
+
+    at = str(tmp_path)
+    spark.createDataFrame([(1, prose(5, 30)), (2, None), (None, "")], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    for name, rows in (("edges", EDGES), ("none", [])):
+        docs = odd(spark.createDataFrame(rows, DDL))
+        columns = docs.columns
+        for stage_name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, at)
+            if stage_name != "sharding":
+                assert out.columns == columns
+            out.write.parquet(f"{at}/{name}-{stage_name}")
+            docs = spark.read.parquet(f"{at}/{name}-{stage_name}")
+        ids = {r.doc_id for r in docs.collect()}
+        assert (ids == set()) if not rows else (ids <= {3, 4, 8, 9, None} and ids)
