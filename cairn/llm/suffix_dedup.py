@@ -130,7 +130,7 @@ def interval_classes(text: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray
     for size in (1, 2, 4):
         key = (key[:-size] << np.uint64(8 * size)) | key[size:]
     key = key[: n + 1]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)  # ties may stand in any order
     key = key[order]
     fresh = np.concatenate(([True], key[1:] != key[:-1]))
     rank = np.zeros(n + 1 + length * 2, np.int64)  # past the end: the empty suffix
@@ -143,33 +143,41 @@ def interval_classes(text: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray
             break
         sub = order[tied]
         pair = (rank[sub] << np.int64(32)) | rank[np.minimum(sub + depth, n)]
-        by = np.argsort(pair, kind="stable")
-        order[tied], pair = sub[by], pair[by]
+        by = np.argsort(pair)
+        sub, pair = sub[by], pair[by]
+        order[tied] = sub
         fresh[tied] = np.concatenate(([True], pair[1:] != pair[:-1]))
-        rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n + 1), 0))
+        # Ranks of tied suffixes alone move, and each class of them starts in ``tied``.
+        rank[sub] = np.maximum.accumulate(np.where(fresh[tied], tied, 0))
         depth *= 2
-    place = np.empty(n + 1, np.int64)
-    place[order] = np.arange(n + 1)
+    place = np.empty(n + 1, np.int32)
+    place[order] = np.arange(n + 1, dtype=np.int32)
     # The transform's symbol before suffix order[j] leads from place j to the place of the suffix one
     # longer; ``next_place`` is that step read the other way.
     symbol = np.concatenate((text, [0]))[order]
     next_place = place[np.minimum(order + 1, n)]
-    boundary = np.zeros(n + 1, bool)
-    boundary[0] = True
     new = np.concatenate(([True], symbol[1:] != symbol[:-1]))  # common prefix 0
-    boundary |= new
-    open_ = np.flatnonzero(~boundary)
+    boundary = new.copy()
+    # Neighbours that tie by now agree in at least ``length`` symbols: no boundary comes between them.
+    open_ = np.flatnonzero(fresh & ~boundary).astype(np.int32)
     lo, hi = next_place[open_ - 1], next_place[open_]
     lo, hi = np.minimum(lo, hi), np.maximum(lo, hi)
+    # Where the places after two neighbours are neighbours too, a boundary there leads straight to one here.
+    near = hi - lo == 1
+    before = np.full(n + 1, -1, np.int32)
+    before[hi[near]] = open_[near]
+    open_, lo, hi = open_[~near], lo[~near], hi[~near]
+    at = np.flatnonzero(new)
     for _ in range(1, length):
-        if not len(open_) or not new.any():
+        if not len(at):
             break
         # A boundary of the last length between two occurrences of a symbol, extended by it, parts their suffixes.
-        count = np.cumsum(new)
+        count = np.cumsum(new, dtype=np.int32)
         parted = count[hi] > count[lo]
-        new = np.zeros(n + 1, bool)
-        new[open_[parted]] = True
-        boundary |= new
+        new[at] = False
+        led = before[at]
+        at = np.concatenate((led[led >= 0], open_[parted]))
+        new[at] = boundary[at] = True
         stay = ~parted
         open_, lo, hi = open_[stay], lo[stay], hi[stay]
     return order, np.cumsum(boundary) - 1
