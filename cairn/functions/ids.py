@@ -6,6 +6,9 @@ big-endian numbers, and hashed once.
 
 from __future__ import annotations
 
+import secrets
+import time
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -98,6 +101,20 @@ def storage_path(chunk_id: Column) -> Column:
     return F.concat_ws("/", F.lit("chunks"), F.substring(chunk_id, 1, 2), chunk_id)
 
 
+def new_uuid_v7(millis: int | None = None) -> str:
+    """A new UUID of version 7: 48 bits of milliseconds, 74 random bits.
+
+    Made in the driver, one for a session or a run; never in a plan, where a task
+    that runs again would make another.
+    """
+    millis = time.time_ns() // 1_000_000 if millis is None else millis
+    if not 0 <= millis < 1 << 48:
+        raise ValueError("milliseconds outside of 48 bits")
+    low = 0x8 << 60 | secrets.randbits(62)
+    digits = f"{millis << 16 | 0x7 << 12 | secrets.randbits(12):016x}{low:016x}"
+    return "-".join((digits[:8], digits[8:12], digits[12:16], digits[16:20], digits[20:]))
+
+
 def epoch_millis(ts: Column) -> Column:
     """Milliseconds since the epoch, rounded half up; null stays null."""
     return F.floor((F.unix_micros(ts.cast("timestamp")) + 500) / 1000).cast("long")

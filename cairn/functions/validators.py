@@ -7,13 +7,24 @@ from pyspark.sql import functions as F
 
 from . import constants as K
 
-CONTENT_ID = "^[0-9a-f]{64}$"
-NODE_ID = "^[A-Za-z0-9._-]{1,128}$"
-UUID_V7 = "^[0-9a-f]{8}-[0-9a-f]{4}-7[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
+# ``\z``: a ``$`` would let a line break follow.
+CONTENT_ID = r"^[0-9a-f]{64}\z"
+NODE_ID = r"^[A-Za-z0-9._-]{1,128}\z"
+UUID_V7 = r"^[0-9a-f]{8}-[0-9a-f]{4}-7[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}\z"
 _OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-IPV4 = rf"^{_OCTET}(\.{_OCTET}){{3}}$"
+IPV4 = rf"^{_OCTET}(\.{_OCTET}){{3}}\z"
 _H = "[0-9A-Fa-f]{1,4}"
-IPV6 = "^(" + "|".join([rf"({_H}:){{7}}{_H}", rf"({_H}:){{1,7}}:", *[rf"({_H}:){{1,{7 - k}}}(:{_H}){{1,{k}}}" for k in range(1, 7)], rf":(:{_H}){{1,7}}", "::"]) + ")$"
+_V4 = rf"{_OCTET}(\.{_OCTET}){{3}}"
+
+
+def _groups(n: int) -> list[str]:
+    """Forms of ``n`` groups, one stretch of which may be left out."""
+    return [rf"({_H}:){{{n - 1}}}{_H}", rf"({_H}:){{1,{n - 1}}}:", *[rf"({_H}:){{1,{n - 1 - k}}}(:{_H}){{1,{k}}}" for k in range(1, n - 1)], rf":(:{_H}){{1,{n - 1}}}", "::"]
+
+
+#: The last two groups may be written as an IPv4 address, and a zone may follow.
+_MIXED = [rf"({_H}:){{6}}{_V4}", rf"({_H}:){{1,5}}:{_V4}", *[rf"({_H}:){{1,{5 - k}}}(:{_H}){{1,{k}}}:{_V4}" for k in range(1, 5)], rf":(:{_H}){{1,5}}:{_V4}", rf"::{_V4}"]
+IPV6 = "^(" + "|".join(_groups(8) + _MIXED) + ")(%[A-Za-z0-9._~-]+)?\\z"
 
 
 def content_id_ok(c: Column) -> Column:

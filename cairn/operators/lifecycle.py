@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import constants as K
@@ -73,6 +73,20 @@ def retire(retirements: DataFrame, decisions: DataFrame) -> DataFrame:
     return retirements.unionByName(fresh.join(retirements.select("version_id"), "version_id", "left_anti"))
 
 
+def page_parameters(text: Column) -> Column:
+    """valid, after and limit of a query string; both are optional, nothing else may stand there.
+
+    A limit that is repeated counts as its last, a cursor may not be repeated.  An
+    ampersand at the end is ignored.  Without ``valid`` both others are null.
+    """
+    pairs = F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(text, r"&\z", ""), "&"))
+    of = lambda key: F.transform(F.filter(pairs, lambda p: p.startswith(f"{key}=")), lambda p: F.substring_index(p, "=", -1))
+    limits = F.transform(of("limit"), lambda n: n.try_cast("decimal(38,0)"))
+    known = F.forall(pairs, lambda p: p.rlike(r"^(after=[0-9a-f]{64}|limit=[0-9]{1,38})\z"))
+    valid = F.coalesce(known & (F.size(of("after")) <= 1) & F.forall(limits, lambda n: n.between(1, K.MAX_PAGE)), F.lit(False))
+    return F.struct(valid.alias("valid"), F.when(valid, F.get(of("after"), F.lit(0))).alias("after"), F.when(valid, F.get(F.reverse(limits), F.lit(0)).cast("long")).alias("limit"))
+
+
 def page(decisions: DataFrame, after: str | None, limit: int) -> DataFrame:
     """Keyset page by version_id, the cursor excluded."""
     if not 1 <= limit <= K.MAX_PAGE:

@@ -49,14 +49,17 @@ def transition(rows: DataFrame, changes: DataFrame, key: str, source: str, targe
 def finalize_outcomes(sessions: DataFrame, submitted: DataFrame, chunks: DataFrame, missing_replicas: DataFrame, retirements: DataFrame) -> DataFrame:
     """session_id and the first reason a finalize is turned down for, or ``ok``.
 
-    ``sessions``: session_id, state, version_id (that would be made), chunk_size, finalized_version_id.
+    ``sessions``: session_id, state, version_id (that would be made), chunk_size, finalized_version_id;
+    content-defined sessions have a null chunk_size, and their bounds in min_size and max_size.
     ``submitted``: session_id, chunk_index, chunk_id, chunk_size_bytes.
     ``missing_replicas``: session_id, chunk_id of desired replicas that aren't available.
     """
     order = Window.partitionBy("session_id").orderBy("chunk_index")
     last = F.lead("chunk_index").over(order).isNull()
-    sized = submitted.join(sessions.select("session_id", "chunk_size"), "session_id")
-    bad_size = F.when(last, (F.col("chunk_size_bytes") <= 0) | (F.col("chunk_size_bytes") > F.col("chunk_size"))).otherwise(F.col("chunk_size_bytes") != F.col("chunk_size"))
+    bound = lambda name: F.coalesce("chunk_size", name) if name in sessions.columns else F.col("chunk_size")
+    sized = submitted.join(sessions.select("session_id", bound("min_size").alias("least"), bound("max_size").alias("most")), "session_id")
+    n = F.col("chunk_size_bytes")
+    bad_size = ~F.coalesce(F.when(last, (n > 0) & (n <= F.col("most"))).otherwise(n.between(F.col("least"), F.col("most"))), F.lit(False))
     sizes = sized.withColumn("_bad", bad_size).groupBy("session_id").agg(F.max("_bad").alias("bad_size"))
     same = submitted.groupBy("session_id", "chunk_id").agg((F.count_distinct("chunk_size_bytes") > 1).alias("c")).groupBy("session_id").agg(F.max("c").alias("twice"))
     known = submitted.join(chunks, "chunk_id", "left").groupBy("session_id").agg(F.max(F.coalesce(F.col("size_bytes") != F.col("chunk_size_bytes"), F.lit(True))).alias("unknown"))
@@ -71,6 +74,16 @@ def finalize_outcomes(sessions: DataFrame, submitted: DataFrame, chunks: DataFra
     return s.select("session_id", outcome.alias("outcome"))
 
 
+def finalized_versions(outcomes: DataFrame, sessions: DataFrame, versions: DataFrame) -> DataFrame:
+    """Version rows that a finalize adds: those of sessions it lets through, once each, without versions that exist.
+
+    ``sessions``: session_id, version_id and the columns of ``versions``.
+    """
+    passed = sessions.join(outcomes.filter("outcome = 'ok'").select("session_id"), "session_id", "left_semi")
+    made = passed.select(*versions.columns).dropDuplicates(["version_id"])
+    return made.join(versions.select("version_id"), "version_id", "left_anti")
+
+
 def busy(sessions: DataFrame, gc_runs: DataFrame, replication_runs: DataFrame) -> DataFrame:
     """One row: whether an open session or run keeps others from starting."""
     out = None

@@ -156,6 +156,12 @@ SQL = {
     "push_stats": "SELECT * FROM push",
     "write_amplification": "SELECT session_id, CASE WHEN bytes_read > 0 THEN bytes_sent / bytes_read ELSE 0 END AS storage_byte_amplification, CASE WHEN bytes_read > 0 THEN greatest(bytes_read - bytes_sent, 0) / bytes_read ELSE 0 END AS network_avoidance_ratio FROM push",
     "finalize_outcomes": _OUTCOME,
+    "finalized_versions": f"""SELECT DISTINCT version_id FROM ({_OUTCOME}) JOIN (SELECT {uuid("'p' || doc_id")} AS session_id, version_id FROM version_docs) USING (session_id)
+      WHERE outcome = 'ok' AND version_id NOT IN (SELECT version_id FROM few_versions)""",
+    "page_parameters": """SELECT o_orderkey, valid, CASE WHEN valid AND form IN (0, 1) THEN cursor END AS after, CASE WHEN valid AND form IN (1, 2) THEN o_orderkey % 300 END::BIGINT AS "limit"
+      FROM (SELECT *, CASE form WHEN -1 THEN true WHEN 0 THEN length(cursor) = 64 WHEN 1 THEN length(cursor) = 64 AND o_orderkey % 300 BETWEEN 1 AND 256 WHEN 2 THEN o_orderkey % 300 BETWEEN 1 AND 256 ELSE false END AS valid
+        FROM (SELECT o_orderkey, substr(sha256(o_orderkey::VARCHAR), 1, CASE WHEN o_orderkey % 7 = 0 THEN 63 ELSE 64 END) AS cursor,
+          CASE WHEN o_orderkey % 11 = 0 THEN -1 WHEN o_orderkey % 13 = 0 OR o_orderkey % 17 = 0 THEN 9 ELSE o_orderkey % 4 END AS form FROM orders))""",
     "live_layouts": "SELECT layout_id, object_id FROM live",
     "collectible_chunks": "SELECT node_id, chunk_id, collectible FROM told",
     "gc_physical_stats": f"SELECT node_id, {COUNT} AS scanned_chunks, sum(size_bytes)::BIGINT AS scanned_bytes, count(*) FILTER (WHERE collectible)::BIGINT AS collectible_chunks, coalesce(sum(size_bytes) FILTER (WHERE collectible), 0)::BIGINT AS collectible_bytes FROM told GROUP BY 1",

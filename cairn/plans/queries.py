@@ -257,18 +257,38 @@ def write_amplification(c):
     return dedup.amplification(dedup.push_stats(chunks, dedup.push_plan(chunks, c.desired, c.locations, thin_inventory(c))))
 
 
-@on_catalog
-def finalize_outcomes(c):
+def upload_sessions(c):
     """Sessions of every document: some aborted, some with a chunk size that doesn't fit."""
     docs = c.version_docs
     state = F.when(F.col("doc_id") % 70 == 0, "aborted").when(F.col("doc_id") % 50 == 0, "committed").otherwise("open")
-    made = docs.select(
+    return docs.select(
         uuid_of(F.concat(F.lit("p"), "doc_id")).alias("session_id"), state.alias("state"), "version_id", F.when(F.col("doc_id") % 30 == 0, 512).otherwise(CHUNK_SIZE).cast("long").alias("chunk_size"),
         F.when(state == "committed", F.when(F.col("doc_id") % 100 == 0, F.col("version_id")).otherwise(F.lit("other"))).alias("finalized_version_id"),
     )
+
+
+@on_catalog
+def finalize_outcomes(c):
     submitted = pushed(c)
     wanted = submitted.select("session_id", "chunk_id").distinct().join(c.desired, "chunk_id")
-    return writes.finalize_outcomes(made, submitted, c.chunks, av.under_replicated(wanted, c.locations), c.retirements)
+    return writes.finalize_outcomes(upload_sessions(c), submitted, c.chunks, av.under_replicated(wanted, c.locations), c.retirements)
+
+
+@on_catalog
+def finalized_versions(c):
+    """Versions that the sessions add where those of four documents in five are known."""
+    return writes.finalized_versions(finalize_outcomes(c), upload_sessions(c), c.versions.filter("doc_no % 5 <> 0").select("version_id"))
+
+
+@query
+def page_parameters(spark, sf_dir):
+    """Query strings made from orders: keys repeated, unknown, out of bounds or without a value."""
+    k = F.col("o_orderkey")
+    after = F.concat(F.lit("after="), F.substring(F.sha2(k.cast("string"), 256), 1, F.when(k % 7 == 0, 63).otherwise(64)))
+    limit = F.concat(F.lit("limit="), (k % 300).cast("string"))
+    text = F.when(k % 4 == 0, after).when(k % 4 == 1, F.concat_ws("&", limit, after)).when(k % 4 == 2, limit).otherwise(F.concat_ws("&", after, after))
+    text = F.when(k % 11 == 0, F.lit("")).when(k % 13 == 0, F.lit("limit")).when(k % 17 == 0, F.concat(text, F.lit("&page=2"))).otherwise(text)
+    return table(spark, sf_dir, "orders").select("o_orderkey", lifecycle.page_parameters(text).alias("p")).select("o_orderkey", "p.*")
 
 
 # Mark and sweep.

@@ -75,6 +75,30 @@ def write_chunks(chunks: DataFrame, root: str) -> int:
     return checked.rdd.mapPartitions(put).sum()
 
 
+def delete_chunks(chunk_ids: DataFrame, root: str) -> int:
+    """Deletes the files of some chunks (chunk_id); how many there were.
+
+    An id without a file counts as none; a link in the place of a file raises.  A
+    task that runs again finds the files gone, so take the plan's rows for a
+    report, not this number.
+    """
+
+    def drop(rows):
+        import os as o
+
+        n = 0
+        for row in rows:
+            place = f"{root}/chunks/{row.chunk_id[:2]}/{row.chunk_id}"
+            if o.path.islink(place):
+                raise OSError(f"{place} is a link")
+            if o.path.isfile(place):
+                o.remove(place)
+                n += 1
+        yield n
+
+    return chunk_ids.filter(content_id_ok(F.col("chunk_id"))).select("chunk_id").distinct().rdd.mapPartitions(drop).sum()
+
+
 def write_store(chunks: DataFrame, path: str) -> None:
     """The store as Parquet, a folder for each pair of leading hex digits, so lookups prune."""
     chunks.withColumn("p2", F.substring("chunk_id", 1, 2)).write.mode("append").partitionBy("p2").parquet(path)

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cairn.functions import ids, validators
-from cairn.operators import chunking
+from cairn.operators import chunking, lifecycle
 
 
 def value(spark, column):
@@ -99,7 +99,7 @@ def test_fixed_chunks(spark):
     assert {r.object_id: len(r.chunks) for r in cdc} == {"a": 0, "b": 1, "c": 1}
 
 
-@pytest.mark.parametrize("address, port, ok", [("10.0.0.1", 80, True), ("256.0.0.1", 80, False), ("::1", 1, True), ("fe80::1:2", 65535, True), ("1.2.3", 80, False), ("10.0.0.1", 0, False), ("a::b::c", 80, False), ("1:2:3:4:5:6:7:8", 9, True)])
+@pytest.mark.parametrize("address, port, ok", [("10.0.0.1", 80, True), ("256.0.0.1", 80, False), ("::1", 1, True), ("fe80::1:2", 65535, True), ("1.2.3", 80, False), ("10.0.0.1", 0, False), ("a::b::c", 80, False), ("1:2:3:4:5:6:7:8", 9, True), ("::ffff:1.2.3.4", 80, True), ("1:2:3:4:5:6:7.8.9.10", 80, True), ("1:2:3:4:5:6:7:7.8.9.10", 80, False), ("fe80::1%eth0", 80, True), ("10.0.0.1%eth0", 80, False), ("1::2:3:1.2.3.4", 80, True), ("::256.1.1.1", 80, False), ("10.0.0.1\n", 80, False)])
 def test_addresses(spark, address, port, ok):
     assert value(spark, validators.address_ok(F.lit(address), F.lit(port))) is ok
 
@@ -115,3 +115,17 @@ def test_strategy_and_session_rules(spark):
     assert value(spark, validators.session_state_ok(F.lit("open"), F.lit("v"))) is False
     assert value(spark, ids.human_bytes(n(1536))) == "1.5 KiB"
     assert value(spark, ids.safe_filename(F.lit("a b/c.bin"))) == "a_b_c.bin"
+
+
+def test_new_uuids(spark):
+    made = [ids.new_uuid_v7(k) for k in (0, 1, 1 << 40, (1 << 48) - 1)] + [ids.new_uuid_v7()]
+    assert sorted(made[:4]) == made[:4] and all(value(spark, validators.uuid_v7_ok(F.lit(u))) for u in made)
+    assert len({ids.new_uuid_v7(5) for _ in range(1000)}) == 1000
+    for wrong in (-1, 1 << 48):
+        with pytest.raises(ValueError, match="48 bits"):
+            ids.new_uuid_v7(wrong)
+
+
+@pytest.mark.parametrize("text, expected", [("", (True, None, None)), ("limit=7&limit=9&", (True, None, 9)), ("limit=0", (False, None, None)), ("limit=" + "9" * 40, (False, None, None)), ("&", (False, None, None)), ("limit=2&&", (False, None, None)), ("after=" + "a" * 64, (True, "a" * 64, None)), ("limit=2\n", (False, None, None)), (None, (False, None, None))])
+def test_page_parameters(spark, text, expected):
+    assert tuple(value(spark, lifecycle.page_parameters(F.lit(text).cast("string")))) == expected

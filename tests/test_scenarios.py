@@ -144,6 +144,33 @@ def test_finalize_order_of_reasons(spark):
     assert {r.session_id: r.outcome for r in got.collect()} == {"a": "session-not-open", "b": "version-retired", "c": "ok", "d": "retry-mismatch", "e": "size-mismatch", "f": "chunk-missing", "g": "under-replicated", "h": "chunk-size-conflict", "empty": "ok"}
 
 
+def test_finalize_of_content_defined_sessions(spark):
+    fields = "session_id string, state string, version_id string, chunk_size long, finalized_version_id string, min_size long, max_size long"
+    sessions = frame(spark, fields, *[(s, "open", v, None, None, 4, 9) for s, v in (("a", "v"), ("b", "w"), ("c", "x"), ("d", "v"))], ("e", "open", "y", None, None, None, None))
+    sent = frame(spark, "session_id string, chunk_index long, chunk_id string, chunk_size_bytes long", ("a", 0, "x", 6), ("a", 1, "y", 1), ("b", 0, "y", 1), ("b", 1, "x", 6), ("c", 0, "z", 10), ("d", 0, "x", 6), ("e", 0, "x", 6))
+    chunks = frame(spark, "chunk_id string, size_bytes long", ("x", 6), ("y", 1), ("z", 10))
+    got = writes.finalize_outcomes(sessions, sent, chunks, frame(spark, "session_id string, chunk_id string"), ids_only(spark))
+    assert {r.session_id: r.outcome for r in got.collect()} == {"a": "ok", "b": "size-mismatch", "c": "size-mismatch", "d": "ok", "e": "size-mismatch"}
+    assert [r.version_id for r in writes.finalized_versions(got, sessions, ids_only(spark, "w")).collect()] == ["v"]
+    assert writes.finalized_versions(got, sessions, ids_only(spark, "v")).count() == 0
+
+
+def test_deleted_chunks(spark, tmp_path):
+    import hashlib
+
+    rows = [(hashlib.sha256(bytes([k])).hexdigest(), bytes([k])) for k in range(3)]
+    chunks = frame(spark, "chunk_id string, content binary", *rows)
+    stores.write_chunks(chunks, str(tmp_path))
+    some = frame(spark, "chunk_id string", (rows[0][0],), (rows[0][0],), ("0" * 64,), ("../outside",), (None,))
+    assert stores.delete_chunks(some, str(tmp_path)) == 1 and stores.delete_chunks(some, str(tmp_path)) == 0
+    assert sorted(r.chunk_id for r in stores.inventory(spark, str(tmp_path)).collect()) == sorted(r[0] for r in rows[1:])
+    place = tmp_path / "chunks" / "00" / ("0" * 64)
+    place.parent.mkdir(exist_ok=True)
+    place.symlink_to(tmp_path / "elsewhere")
+    with pytest.raises(Exception, match="is a link"):
+        stores.delete_chunks(some, str(tmp_path))
+
+
 def test_writes(spark):
     old = frame(spark, "k string, v int, at int", ("a", 1, 1), ("b", 1, 1))
     new = frame(spark, "k string, v int, at int", ("b", 2, 2), ("c", 3, 2))
