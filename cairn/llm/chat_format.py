@@ -14,7 +14,8 @@ Defined cases: a null text or role is empty; equal turn numbers are ordered by
 role and text and repeated rows stay repeated turns; null turn numbers come
 first; a null conv_id is a conversation of its own; a turn over the budget
 stands whole in a window of its own, flagged ``over_budget``; an empty table
-gives an empty result.
+gives an empty result.  Texts of any length are taken whole.  Only conv_id, turn,
+role and text are read, so extra columns can't clash.
 
 A conversation is atomic: its windows, and the digests asked for, are made from
 its turns in order.
